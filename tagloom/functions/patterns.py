@@ -34,33 +34,24 @@ def replace(col: Column, pattern: str, replacement: str) -> Column:
 
 def strip(col: Column) -> Column:
     """Remove all leading and trailing white space, not only blanks."""
-    return replace(col, rf"^{WS}+|{WS}+$(?!\n)", "")
+    return replace(col, rf"^{WS}+|{WS}+\z", "")
 
 
-_WORD = re.compile(r"[A-Za-z0-9_]")
-
-
-def _first_char(pattern: str) -> str:
-    return pattern[3] if pattern.startswith("(?:") and len(pattern) > 3 else pattern[0]
-
-
-def _last_char(pattern: str) -> str:
-    inside_group = re.search(r"([A-Za-z0-9_])\)[?*+]?(?:\{[^}]*\})?$", pattern)
-    return inside_group.group(1) if inside_group else pattern[-1]
+# Does a pattern begin / end on a word character, looking through one group bracket?
+_STARTS_IN_WORD = re.compile(r"(?:\(\?:)?\w", re.ASCII)
+_ENDS_IN_WORD = re.compile(r"\w(?:\)[?*+]?)?\Z", re.ASCII)
 
 
 def whole_word(pattern: str) -> str:
     """Anchor a dictionary pattern with ``\\b`` on each side that is a word character.
 
-    A side that already carries ``\\b`` is left alone. A closing group counts as the
-    character before its parenthesis, so ``Node(?:\\.js)?`` is anchored on the right
-    while ``C\\+\\+`` is not.
+    A side that already carries ``\\b`` is left alone. ``Node(?:\\.js)?`` is anchored on
+    the right, because its group ends in a letter; ``C\\+\\+`` is not.
     """
-    if not pattern:
-        return pattern
-    left = not pattern.startswith(r"\b") and _WORD.match(_first_char(pattern))
-    right = not pattern.endswith(r"\b") and _WORD.match(_last_char(pattern))
-    return (r"\b" if left else "") + pattern + (r"\b" if right else "")
+    edge = r"\b"
+    open_left = _STARTS_IN_WORD.match(pattern) and not pattern.startswith(edge)
+    open_right = _ENDS_IN_WORD.search(pattern) and not pattern.endswith(edge)
+    return f"{edge if open_left else ''}{pattern}{edge if open_right else ''}"
 
 
 def _alternatives(body: str) -> list[str]:

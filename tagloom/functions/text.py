@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagloom.functions import patterns
 from tagloom.functions.patterns import WS, strip
@@ -38,7 +39,7 @@ COMMON_ENTITIES = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode_any_entity(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
