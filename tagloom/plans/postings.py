@@ -86,7 +86,7 @@ LEVER = PostingSpec(
     workplace=presets.WORKPLACE_RULES["lever"],
     seniority=presets.SENIORITY_RULES,
     employment=presets.EMPLOYMENT_RULES["lever"],
-    keywords=presets.KEYWORDS,
+    keywords=presets.PLATFORMS_LAST,
 )
 
 WORKABLE_COLUMNS = [

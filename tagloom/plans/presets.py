@@ -240,6 +240,12 @@ def dictionary(tags: list[str]) -> list[Keyword]:
     return [entry for tag in tags for entry in by_tag[tag]]
 
 
+# One source lists the two mobile platforms after the mobile frameworks.
+PLATFORMS_LAST = [k for k in KEYWORDS if k.tag not in ("Android", "iOS")]
+_at = [k.tag for k in PLATFORMS_LAST].index("SwiftUI") + 1
+PLATFORMS_LAST[_at:_at] = dictionary(["Android", "iOS"])
+
+
 # --- Fixed values: first-match rules ---------------------------------------------------
 
 REGION_PATTERN = (

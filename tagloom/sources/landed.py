@@ -10,36 +10,36 @@ from pyspark.sql import functions as F
 from tagloom.functions.coerce import us_or_iso_date
 from tagloom.functions.patterns import strip
 
-# Landing layout: <root>/run_id=…/source=…/kind=list|detail/company=…/<any file name>
-LANDING_PARTS = ("run_id", "source", "kind", "company")
+# A landed payload: the whole answer of one request, kept as text. ``kind`` is "list" for
+# the postings of a company and "detail" for the page at ``detail_url``. The daily job
+# writes one folder run_id=<yyyyMMdd'T'HHmmss> per run.
+LANDING_SCHEMA = (
+    "source string, kind string, company_slug string, detail_url string, payload string"
+)
 
 _LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
-def with_landing_parts(payloads: DataFrame) -> DataFrame:
-    """Take run, source, kind and company slug out of the file path."""
-    path = F.col("_metadata.file_path")
-    parts = [
-        F.nullif(F.regexp_extract(path, f"/{part}=([^/]+)/", 1), F.lit("")).alias(
-            "company_slug" if part == "company" else part
-        )
-        for part in LANDING_PARTS
-    ]
-    return payloads.select(*parts, F.col("value").alias("payload"))
+def read_landed(spark: SparkSession, root: str) -> DataFrame:
+    """Landed payloads below ``root`` (JSON lines), with ``run_id`` from the folder."""
+    return spark.read.schema(f"{LANDING_SCHEMA}, run_id string").json(root)
 
 
-def read_landed(spark: SparkSession, root: str) -> DataFrame:
-    """All landed payloads below ``root``: run_id, source, kind, company_slug, payload."""
-    files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .text(root)
+def read_documents(spark: SparkSession, root: str) -> DataFrame:
+    """List documents stored one per file as ``…/source=S/company=C/<file>``."""
+    path = F.col("_metadata.file_path")
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    return files.select(
+        F.regexp_extract(path, "/source=([^/]+)/", 1).alias("source"),
+        F.lit("list").alias("kind"),
+        F.regexp_extract(path, "/company=([^/]+)/", 1).alias("company_slug"),
+        F.lit(None).cast("string").alias("detail_url"),
+        F.col("value").alias("payload"),
     )
-    return with_landing_parts(files)
 
 
 def json_items(payloads: DataFrame, list_key: str | None) -> DataFrame:
-    """One row per element of the job list, as variant column ``raw``.
+    """One row per element of the job list: variant ``raw`` and its position ``pos``.
 
     ``list_key`` names the list inside the document; None means the document is the
     list. Unreadable documents and missing lists yield no rows.
@@ -47,7 +47,8 @@ def json_items(payloads: DataFrame, list_key: str | None) -> DataFrame:
     document = F.try_parse_json("payload")
     path = "$" if list_key is None else f"$.{list_key}"
     items = F.try_variant_get(document, path, "array<variant>")
-    return payloads.withColumn("raw", F.explode(items)).drop("payload")
+    kept = [c for c in payloads.columns if c != "payload"]
+    return payloads.select(*kept, F.posexplode(items).alias("pos", "raw"))
 
 
 def _cell_value(cell: Column) -> Column:
@@ -65,7 +66,10 @@ def markdown_rows(payloads: DataFrame, columns: Sequence[str], url_column: str)
     ``source_url`` come from the detail url in ``url_column``; both are null when that
     url has another shape.
     """
-    lines = payloads.withColumn("line", F.explode(F.split("payload", _LINE_BREAK)))
+    kept = [c for c in payloads.columns if c != "payload"]
+    lines = payloads.select(
+        *kept, F.posexplode(F.split("payload", _LINE_BREAK)).alias("pos", "line")
+    )
     inner = F.regexp_replace("line", r"^\|+|\|+\z", "")
     cells = F.transform(F.split(inner, r"\|"), strip)
     rows = (
@@ -73,11 +77,12 @@ def markdown_rows(payloads: DataFrame, columns: Sequence[str], url_column: str)
         .withColumn("cells", cells)
         .where(F.size("cells") == len(columns))
         .where(~F.exists("cells", lambda c: F.rlike(c, F.lit(r"^[-: ]+\z"))))
-        .where(F.col("cells")[0] != columns[0])
+        .where(F.get("cells", F.lit(0)) != columns[0])
     )
     rows = rows.select(
-        *[c for c in payloads.columns if c != "payload"],
-        *[_cell_value(F.col("cells")[i]).alias(name) for i, name in enumerate(columns)],
+        *kept,
+        "pos",
+        *[_cell_value(F.get("cells", F.lit(i))).alias(name) for i, name in enumerate(columns)],
     )
     url = F.col(url_column)
     shortcode = F.nullif(F.regexp_extract(url, r"(?i)/view/([A-F0-9]+)\.md$", 1), F.lit(""))
@@ -88,11 +93,13 @@ def markdown_rows(payloads: DataFrame, columns: Sequence[str], url_column: str)
     )
 
 
-def attach_details(rows: DataFrame, details: DataFrame, key: str) -> DataFrame:
+def attach_details(
+    rows: DataFrame, details: DataFrame, key: str, row_id: Sequence[str] = ("company_slug", "pos")
+) -> DataFrame:
     """Left join the detail columns by ``key``; rows without a detail keep nulls.
 
-    One detail per key is kept. Rows whose key is null can match nothing, so they get
-    a key of their own and do not all meet in one shuffle partition.
+    One detail per key is kept. Rows whose key is null can match nothing, so they get a
+    key made from ``row_id`` and do not all meet in one shuffle partition.
     """
     payload = [c for c in details.columns if c != key]
     one_each = (
@@ -101,7 +108,7 @@ def attach_details(rows: DataFrame, details: DataFrame, key: str) -> DataFrame:
         .agg(F.max(F.struct(*payload)).alias("__detail"))
         .withColumnRenamed(key, "__key")
     )
-    spread = F.concat(F.lit("\u0000"), F.xxhash64(F.monotonically_increasing_id()))
+    spread = F.concat(F.lit("\u0000"), F.xxhash64(*row_id).cast("string"))
     keyed = rows.withColumn("__key", F.coalesce(F.col(key), spread))
     return keyed.join(one_each, "__key", "left").select(
         *rows.columns, *[F.col(f"__detail.{c}").alias(c) for c in payload]
