@@ -171,16 +171,27 @@ def match_filters(
         on=["key"],
         spread=[row_key],
         how="inner",
+        also=_rest_matches(),
     )
-    return pairs.where(F.coalesce(_rest_matches(), F.lit(False))).select(row_key, "filter_id")
+    return pairs.select(row_key, "filter_id")
 
 
 def flag_matches(
     rows: DataFrame, filters: DataFrame, row_key: str = "id", query: str = "query"
 ) -> DataFrame:
-    """``rows`` with ``matches_filter``: at least one enabled filter matches."""
-    enabled = filters.where("enabled")
-    hit = match_filters(rows, enabled, row_key, query).select(row_key).distinct()
-    return rows.join(hit.withColumn("__hit", F.lit(True)), row_key, "left").select(
+    """``rows`` with ``matches_filter``: at least one enabled filter matches.
+
+    A semi-join, so the matching pairs themselves are never built.
+    """
+    hit = salted_join(
+        _row_entries(rows, row_key),
+        _filter_entries(filters.where("enabled"), query),
+        on=["key"],
+        spread=[row_key],
+        how="left_semi",
+        also=_rest_matches(),
+    )
+    flagged = hit.select(row_key).distinct().withColumn("__hit", F.lit(True))
+    return rows.join(flagged, row_key, "left").select(
         *rows.columns, F.coalesce("__hit", F.lit(False)).alias("matches_filter")
     )

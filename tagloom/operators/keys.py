@@ -37,16 +37,25 @@ def salted_join(
     on: Sequence[str],
     spread: Sequence[str],
     how: str = "left",
+    also: Column | None = None,
     salts: int = 16,
 ) -> DataFrame:
     """Join ``large`` to a smaller ``lookup`` whose keys may be hot in ``large``.
 
     The rows of one key are spread over ``salts`` shuffle partitions by a hash of the
     ``spread`` columns, and the lookup rows are repeated once per salt. Spark still
-    broadcasts the lookup when its measured size is below the broadcast limit.
+    broadcasts the lookup when its measured size is below the broadcast limit. ``also``
+    is a further condition on columns of both sides.
     """
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    repeated = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (
-        large.withColumn("__salt", salt).join(repeated, [*on, "__salt"], how).drop("__salt")
-    )
+    keys = [F.col(c).alias(f"__on_{c}") for c in on]
+    rest = [c for c in lookup.columns if c not in on]
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__on_salt")
+    repeated = lookup.select(*keys, *rest, every_salt)
+    condition = F.col("__salt") == F.col("__on_salt")
+    for c in on:
+        condition = condition & (F.col(c) == F.col(f"__on_{c}"))
+    if also is not None:
+        condition = condition & also
+    joined = large.withColumn("__salt", salt).join(repeated, condition, how)
+    return joined.drop("__salt", "__on_salt", *[f"__on_{c}" for c in on])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.operators.ranking import number_rows
@@ -140,16 +140,9 @@ def search(
     first = found.groupBy(tie).agg(F.min(F.struct("__branch", *found.columns)).alias("__r"))
     rows = first.select("__r.__branch", *[F.col(f"__r.{c}") for c in view.columns])
     best = rows.orderBy("__branch", *order).limit(limit)
-    return number_found(best, ["__branch"], order).drop("__branch")
-
-
-def number_found(rows: DataFrame, lead: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Number a result that a limit has already made small."""
-    from pyspark.sql import Window
-
-    return rows.withColumn(
-        "position", F.row_number().over(Window.orderBy(*[F.col(c) for c in lead], *order))
-    )
+    return best.withColumn(
+        "position", F.row_number().over(Window.orderBy("__branch", *order))
+    ).drop("__branch")
 
 
 def pending_enrichment(
