@@ -119,7 +119,8 @@ def markdown_detail_url(url: Column) -> Column:
 
 
 def _elapsed(ts: Column, as_of: Column, unit_ms: int) -> Column:
-    return F.floor((F.unix_millis(as_of) - F.unix_millis(ts)) / F.lit(unit_ms)).cast("bigint")
+    elapsed = F.unix_millis(as_of.cast("timestamp")) - F.unix_millis(ts.cast("timestamp"))
+    return F.floor(elapsed / F.lit(unit_ms)).cast("bigint")
 
 
 def age_label(ts: Column, as_of: Column) -> Column:

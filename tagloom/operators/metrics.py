@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 
 def hours_between(earlier: Column, later: Column) -> Column:
-    return F.floor((F.unix_millis(later) - F.unix_millis(earlier)) / F.lit(3_600_000))
+    """Whole hours, rounded down."""
+    hours = F.unix_millis(later.cast("timestamp")) - F.unix_millis(earlier.cast("timestamp"))
+    return F.floor(hours / F.lit(3_600_000))
 
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:

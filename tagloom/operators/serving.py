@@ -137,7 +137,7 @@ def search(
     found = by_text.withColumn("__branch", F.lit(0)).unionByName(
         by_tag.withColumn("__branch", F.lit(1))
     )
-    first = found.groupBy(tie).agg(F.min(F.struct("__branch", *found.columns)).alias("__r"))
+    first = found.groupBy(tie).agg(F.min(F.struct("__branch", *view.columns)).alias("__r"))
     rows = first.select("__r.__branch", *[F.col(f"__r.{c}") for c in view.columns])
     best = rows.orderBy("__branch", *order).limit(limit)
     return best.withColumn(

@@ -36,8 +36,8 @@ def pick_categories(
 ) -> list[str]:
     """``k`` known categories from a comma list, filled up from the defaults."""
     asked = [part.strip().lower() for part in (text or "").split(",")]
-    wanted = [name for name in asked if name in known][:] + list(defaults)
-    return list(dict.fromkeys(wanted))[:k]
+    wanted = [name for name in asked if name in known]
+    return list(dict.fromkeys([*wanted, *defaults]))[:k]
 
 
 def tag_counts(rows: DataFrame, column: str = "tech_stack") -> DataFrame:
@@ -72,11 +72,15 @@ def tag_pairs(rows: DataFrame, column: str = "tech_stack") -> DataFrame:
         .agg(F.count("*").alias("count"))
     )
     # a tag listed twice in one row pairs with itself, once for each order
-    both = F.array(
-        F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    sides = F.when(
+        F.col("a") == F.col("b"), F.array(F.struct("a", "b", (F.col("count") * 2).alias("count")))
+    ).otherwise(
+        F.array(
+            F.struct("a", "b", "count"),
+            F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "count"),
+        )
     )
-    sides = half.select(F.inline(both), "count")
-    return sides.groupBy("a", "b").agg(F.sum("count").alias("count"))
+    return half.select(F.inline(sides))
 
 
 def rounded_percent(part: Column, whole: Column) -> Column:
