@@ -33,35 +33,48 @@ def version_hash(
     return listed.select(F.substring(F.sha2(rendered, 256), 1, 8).alias("prompt_hash"))
 
 
-def parsed_answer(answer: Column) -> Column:
-    """Struct of known tags, unknown tags and an error text from a model answer.
+def with_parsed_answer(rows: DataFrame, answer: str) -> DataFrame:
+    """Add ``known``, ``unknown`` and ``error`` from a model answer.
 
     The answer holds one JSON object, possibly with text around it. Strings in its
     ``technologies`` list are known tags, or unknown ones with a leading question mark;
     other items are ignored. Anything else is an error, with both lists null.
     """
-    body = F.regexp_extract(answer, r"(?s)\{.*\}", 0)
-    parsed = F.try_parse_json(body)
-    items = F.try_variant_get(parsed, "$.technologies", "array<variant>")
-    is_list = F.startswith(
-        F.schema_of_variant(F.try_variant_get(parsed, "$.technologies", "variant")), F.lit("ARRAY")
+    body = F.col("__body")
+    # Text after a complete value would go unnoticed, so the value is read inside a list
+    # and inside an object: whatever follows it breaks at least one of them.
+    listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    nested = F.try_parse_json(F.concat(F.lit('{"x":'), body, F.lit("}")))
+    staged = (
+        rows.withColumn("__body", F.regexp_extract(answer, r"(?s)\{.*\}", 0))
+        .withColumn("__listed", F.when(nested.isNotNull(), listed))
+        .withColumn("__second", F.try_variant_get("__listed", "$[1]", "variant"))
+        .withColumn("__list", F.try_variant_get("__listed", "$[0].technologies", "variant"))
+        .withColumn("__items", F.try_variant_get("__list", "$", "array<variant>"))
+        .withColumn(
+            "__texts",
+            F.transform(
+                F.filter("__items", lambda x: F.schema_of_variant(x) == "STRING"),
+                lambda x: strip(F.try_variant_get(x, "$", "string")),
+            ),
+        )
     )
-    texts = F.transform(
-        F.filter(items, lambda x: F.schema_of_variant(x) == "STRING"),
-        lambda x: strip(F.try_variant_get(x, "$", "string")),
-    )
-    known = F.filter(texts, lambda t: ~F.startswith(t, F.lit("?")))
+    valid = F.col("__listed").isNotNull() & F.col("__second").isNull()
+    is_list = F.startswith(F.schema_of_variant("__list"), F.lit("ARRAY"))
+    ok = F.coalesce(valid & is_list, F.lit(False))
+    marked = F.lit("?")
+    known = F.filter("__texts", lambda t: ~F.startswith(t, marked))
     unknown = F.transform(
-        F.filter(texts, lambda t: F.startswith(t, F.lit("?"))),
-        lambda t: strip(F.substring(t, 2, 1_000_000)),
+        F.filter("__texts", lambda t: F.startswith(t, marked)),
+        lambda t: strip(F.substr(t, F.lit(2))),
     )
-    ok = F.coalesce(is_list, F.lit(False))
     error = (
         F.when(F.coalesce(body, F.lit("")) == "", F.lit("no JSON object"))
-        .when(parsed.isNull(), F.lit("invalid JSON"))
+        .when(~valid, F.lit("invalid JSON"))
         .when(~ok, F.lit("no technologies list"))
     )
-    return F.struct(
+    return staged.select(
+        *rows.columns,
         F.when(ok, known).alias("known"),
         F.when(ok, unknown).alias("unknown"),
         error.alias("error"),
@@ -78,18 +91,18 @@ def enrichment_results(
     it is not tried again. ``answers`` has id and answer.
     """
     none = F.array().cast("array<string>")
-    joined = pending.join(answers.select("id", "answer"), "id", "left").withColumn(
-        "__parsed", parsed_answer(F.col("answer"))
+    joined = with_parsed_answer(
+        pending.join(answers.select("id", "answer"), "id", "left"), "answer"
     )
     skip = F.coalesce(gated, F.lit(False))
-    failed = F.col("__parsed.error").isNotNull()
+    failed = F.col("error").isNotNull()
     status = (
         F.when(skip, F.lit("skipped")).when(failed, F.lit("error")).otherwise(F.lit("enriched"))
     )
     return joined.select(
         "id",
-        F.when(skip | failed, none).otherwise(F.col("__parsed.known")).alias("known"),
-        F.when(skip | failed, none).otherwise(F.col("__parsed.unknown")).alias("unknown"),
+        F.when(skip | failed, none).otherwise(F.col("known")).alias("known"),
+        F.when(skip | failed, none).otherwise(F.col("unknown")).alias("unknown"),
         status.alias("status"),
         F.lit(prompt_hash).alias("prompt_hash"),
         F.col("tech_stack"),

@@ -20,7 +20,7 @@ def apply_run(payloads: DataFrame, companies: DataFrame, target: str, version: s
     current = read_version(spark, target, latest_version(spark, target, before=version))
     # read twice by the merge; the rules should not run twice
     incoming = cut_lineage(in_region(read_postings(payloads, companies)))
-    as_of = F.to_timestamp(F.lit(run_id), F.lit(RUN_FORMAT))
+    as_of = F.to_timestamp(F.lit(run_id), RUN_FORMAT)
     merged = merge_snapshot(current, incoming, as_of)
     return write_version(merged.drop("change_type"), target, version)
 
