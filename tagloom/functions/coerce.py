@@ -75,21 +75,20 @@ def coerce(value: Column, kind: str, empty_as_null: bool = False) -> Column:
     return _CONVERSIONS[kind](value)
 
 
-def is_truthy(raw: Column, path: str) -> Column:
+def is_truthy(path: str, raw: str = "raw") -> Column:
     """Whether a required raw value is present: not null, empty, zero or false."""
-    item = F.try_variant_get(raw, json_path(path), "variant")
-    kind = F.schema_of_variant(item)
-    text = F.try_variant_get(item, "$", "string")
-    number = F.try_variant_get(item, "$", "double")
-    present = (
-        F.when(kind == "STRING", text != "")
-        .when(kind == "BOOLEAN", text == "true")
-        .when(kind.startswith("ARRAY"), text != "[]")
-        .when(kind.startswith("OBJECT"), text != "{}")
-        .when(number.isNotNull(), number != 0)
-        .otherwise(text.isNotNull())
+    at = f"`{raw}`, '{json_path(path)}'"
+    text, number = f"try_variant_get({at}, 'string')", f"try_variant_get({at}, 'double')"
+    return F.expr(
+        f"""coalesce(
+          CASE regexp_extract(schema_of_variant(try_variant_get({at}, 'variant')), '^[A-Z]+', 0)
+            WHEN 'STRING' THEN {text} <> ''
+            WHEN 'BOOLEAN' THEN {text} = 'true'
+            WHEN 'ARRAY' THEN {text} <> '[]'
+            WHEN 'OBJECT' THEN {text} <> '{{}}'
+            ELSE coalesce({number} <> 0, {text} IS NOT NULL)
+          END, false)"""
     )
-    return F.coalesce(present, F.lit(False))
 
 
 def append_array_field(base: Column, raw: Column, array_path: str, field: str) -> Column:

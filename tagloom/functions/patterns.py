@@ -8,12 +8,15 @@ Unicode flag stated for ``\\b``, ``\\w`` and case folding, and unix-lines mode s
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space as a Unicode-aware class; the four ASCII separators are not in Java's.
-WS = r"[\s\x1c-\x1f]"
+# All white space, spelled out: the ASCII separators included, which Java's \\s leaves out.
+_SPACES = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS = f"[ {_SPACES}]"
 
 
 def java_regex(pattern: str, ignore_case: bool = False) -> str:
@@ -28,10 +31,29 @@ def matches(col: Column, pattern: str, ignore_case: bool = False) -> Column:
     return F.rlike(col, F.lit(java_regex(pattern, ignore_case)))
 
 
+def sql_text(value: str) -> str:
+    """A string literal for ``F.expr``."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def matches_sql(column: str, pattern: str, ignore_case: bool = False) -> str:
+    """The test of ``matches`` as text, for long rule lists parsed in one go."""
+    return f"rlike({column}, {sql_text(java_regex(pattern, ignore_case))})"
+
+
 def replace(col: Column, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(col, java_regex(pattern), replacement)
 
 
+def collapse_spaces(col: Column) -> Column:
+    """One blank for every run of white space, none at the ends.
+
+    A lone blank is no match, so ordinary text is hardly rewritten.
+    """
+    return F.trim(replace(col, f"{WS}{{2,}}|[{_SPACES}]", " "))
+
+
 def strip(col: Column) -> Column:
     """Remove all leading and trailing white space, not only blanks."""
     return replace(col, rf"^{WS}+|{WS}+\z", "")
@@ -66,27 +88,74 @@ def _alternatives(body: str) -> list[str]:
     return [*parts, current]
 
 
-def _leading_literal(pattern: str) -> str:
+def _leading_literal(pattern: str) -> tuple[str, str]:
+    """Plain characters a pattern begins with, and the rest of it."""
     literal, rest = "", pattern
     while step := re.match(r"[A-Za-z0-9 /#-]|\\[.+]", rest):
         literal += step.group()[-1]
         rest = rest[step.end() :]
-    return literal[:-1] if rest[:1] in ("?", "*", "{") else literal
+    if rest[:1] in ("?", "*", "{"):
+        return literal[:-1], literal[-1:] + rest
+    return literal, rest
 
 
-def required_literals(pattern: str) -> list[str]:
-    """Plain strings of which one must occur in every text the pattern matches.
+@dataclass(frozen=True)
+class LeadWord:
+    """A word that every match of a pattern begins with (after any signs).
 
-    Used as a cheap test before the regex runs. An empty list means that no such
-    strings could be read off the pattern, so the regex must always run.
+    ``whole`` tells that the word ends there; otherwise longer words may begin with it.
     """
-    body = pattern.replace(r"\b", "")
-    optional_prefix = re.match(r"\(\?:[^()]*\)\?", body)
+
+    text: str
+    whole: bool
+    literal: str
+
+
+def lead_words(pattern: str) -> list[LeadWord] | None:
+    """Lead words of an anchored pattern, of which each match has one.
+
+    None means that they cannot be read off the pattern, or that one is so short that
+    it would begin too many words; such a pattern has to be tried on every text.
+    """
+    right_anchored = pattern.endswith(r"\b")
+    body = pattern.removeprefix(r"\b").removesuffix(r"\b")
+    optional_prefix = re.match(r"\(\?:([^()]*)\)\?", body)
+    options = []
     if optional_prefix:
+        options.append(optional_prefix.group(1))
         body = body[optional_prefix.end() :]
     if body.startswith("(?:") and body.endswith(")"):
-        options = _alternatives(body[3:-1])
-    else:
-        options = _alternatives(body)
-    literals = [_leading_literal(option) for option in options]
-    return literals if all(len(text) > 0 for text in literals) else []
+        body = body[3:-1]
+    words = []
+    for option in [*options, *_alternatives(body)]:
+        literal, rest = _leading_literal(option)
+        word = re.match(r"[^A-Za-z0-9]*([A-Za-z0-9]+)", literal)
+        if word is None:
+            return None
+        followed = literal[word.end() :] != "" or rest.startswith(r"\s+")
+        whole = followed or (rest == "" and right_anchored and option not in options)
+        if len(word.group(1)) < 3 and not whole:
+            return None
+        words.append(LeadWord(word.group(1).lower(), whole, literal))
+    return words
+
+
+def any_word_regex(words: Iterable[LeadWord]) -> tuple[str, dict[str, str]]:
+    """One regex that finds all lead words in a folded text, and the find for each word.
+
+    A word that begins with another, shorter lead word is found as the shorter one, so
+    that no word start can be taken by two alternatives. Alternatives are grouped by
+    their first letter.
+    """
+    whole = {w.text for w in words if w.whole}
+    open_ended = {w.text for w in words if not w.whole}
+    found_as = {}
+    for text in whole | open_ended:
+        starts = [o for o in open_ended if text.startswith(o)]
+        found_as[text] = min(starts, key=len, default=text)
+    by_letter: dict[str, list[str]] = {}
+    for text in sorted(set(found_as.values())):
+        end = "" if text in open_ended else "(?![a-z0-9])"
+        by_letter.setdefault(text[0], []).append(re.escape(text[1:]) + end)
+    groups = "|".join(f"{letter}(?:{'|'.join(ends)})" for letter, ends in by_letter.items())
+    return f"(?<![a-z0-9])(?:{groups})", found_as

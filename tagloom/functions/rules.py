@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
@@ -36,35 +36,61 @@ class Keyword:
         return patterns.whole_word(self.pattern)
 
 
-def first_match(
-    rules: Sequence[Rule],
-    default: object = None,
-    dtype: str = "string",
-    columns: Mapping[str, Column] | None = None,
-) -> Column:
+def _literal(value: object) -> str:
+    if value is None or isinstance(value, bool):
+        return "NULL" if value is None else str(value).upper()
+    return patterns.sql_text(str(value))
+
+
+def first_match(rules: Sequence[Rule], default: object = None, dtype: str = "string") -> Column:
     """Value of the first rule that matches, else ``default``.
 
     A rule value may be null; it still ends the search. A null field matches nothing.
     """
-    result = F.lit(default).cast(dtype)
-    for rule in reversed(rules):
-        field = columns[rule.field] if columns else F.col(rule.field)
-        hit = patterns.matches(field, rule.pattern)
-        result = F.when(hit, F.lit(rule.value).cast(dtype)).otherwise(result)
-    return result
+    cases = " ".join(
+        f"WHEN {patterns.matches_sql(f'`{r.field}`', r.pattern)} THEN {_literal(r.value)}"
+        for r in rules
+    )
+    chosen = f"CASE {cases} ELSE {_literal(default)} END" if rules else _literal(default)
+    return F.expr(f"CAST({chosen} AS {dtype})")
+
 
+def _folded(text: Column) -> Column:
+    """Lower case as a case-blind match sees it: also for long s, dotless and dotted i."""
+    folded = F.lower(text)
+    for letter, plain in (("\u017f", "s"), ("\u0131", "i"), ("i\u0307", "i")):
+        folded = F.replace(folded, F.lit(letter), F.lit(plain))
+    return folded
 
-def _hit(text: Column, folded: Column, entry: Keyword) -> Column:
-    """Regex test behind a plain substring test that most rows fail."""
-    regex = patterns.matches(text, entry.anchored, ignore_case=not entry.case_sensitive)
-    literals = patterns.required_literals(entry.pattern)
-    if not literals:
-        return regex
-    if entry.case_sensitive:
-        guards = [F.contains(text, F.lit(x)) for x in literals]
-    else:
-        guards = [F.contains(folded, F.lit(x.lower())) for x in literals]
-    return reduce(or_, guards) & regex
+
+class _Finder:
+    """Test for each dictionary entry against a text and the lead words found in it.
+
+    One pass over a text finds which lead words occur at all. The regex of an entry runs
+    only on texts with one of its lead words.
+    """
+
+    def __init__(self, dictionary: Sequence[Keyword]):
+        self.lead = {entry: patterns.lead_words(entry.anchored) for entry in dictionary}
+        words = [w for found in self.lead.values() for w in found or []]
+        self.regex, self.found_as = patterns.any_word_regex(words) if words else (None, {})
+
+    def words(self, folded: Column) -> Column:
+        if self.regex is None:
+            return F.array().cast("array<string>")
+        return F.array_distinct(F.regexp_extract_all(folded, F.lit(self.regex), F.lit(0)))
+
+    def test(self, text: str, words: str, entry: Keyword) -> str:
+        regex = patterns.matches_sql(text, entry.anchored, ignore_case=not entry.case_sensitive)
+        if self.lead[entry] is None:
+            return regex
+        guards = []
+        for word in self.lead[entry]:
+            guard = f"array_contains({words}, {patterns.sql_text(self.found_as[word.text])})"
+            if entry.case_sensitive:
+                guard = f"({guard} AND contains({text}, {patterns.sql_text(word.literal)}))"
+            guards.append(guard)
+        return f"(({' OR '.join(guards)}) AND {regex})"
 
 
 def with_keyword_tags(
@@ -82,17 +108,37 @@ def with_keyword_tags(
     parts = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
     if markup:
         parts = [clean_markup(p) for p in parts]
-    text, folded = "__text", "__folded"
-    tagged = df.withColumn(text, F.concat_ws(" ", *parts)).withColumn(
-        # upper-then-lower folds the few letters whose only ASCII form is the upper one
-        folded,
-        F.lower(F.upper(F.col(text))),
+    finder = _Finder(dictionary)
+    cleaned = df.withColumn("__text", F.concat_ws(" ", *parts))
+    cleaned = cleaned.withColumn("__words", finder.words(_folded(F.col("__text"))))
+    hits = ", ".join(
+        f"CASE WHEN {finder.test('__text', '__words', e)} THEN {patterns.sql_text(e.tag)} END"
+        for e in dictionary
     )
-    hits = [
-        F.when(_hit(F.col(text), F.col(folded), entry), F.lit(entry.tag)) for entry in dictionary
-    ]
-    tags = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
-    return tagged.withColumn(out, tags).drop(text, folded)
+    tags = F.expr(f"array_compact(CAST(array({hits}) AS array<string>))")
+    return cleaned.withColumn(out, tags).drop("__text", "__words")
+
+
+def _evidence(finder: _Finder, entry: Keyword, fields: Sequence[str], context: int) -> str:
+    """Struct for the first field in which the entry is found, else null."""
+    regex = patterns.java_regex(entry.anchored, ignore_case=not entry.case_sensitive)
+    cases = []
+    for i, field in enumerate(fields):
+        text = f"__f{i}"
+        # p holds the text before and after the first match
+        around = f"split({text}, {patterns.sql_text(regex)}, 2)"
+        shown = (
+            f"substring({text}, greatest(length(p[0]) - {context}, 0) + 1, least(length(p[0]), "
+            f"{context}) + length({text}) - length(p[0]) - length(p[1]) + {context})"
+        )
+        cases.append(
+            f"WHEN {finder.test(text, f'__w{i}', entry)} THEN named_struct("
+            f"'tag', {patterns.sql_text(entry.tag)}, 'field', {patterns.sql_text(field)}, "
+            f"'snippet', get(transform(array({around}), p -> {shown}), 0), "
+            f"'pattern', {patterns.sql_text(entry.pattern)}, "
+            f"'effective_pattern', {patterns.sql_text(entry.anchored)})"
+        )
+    return f"CASE {' '.join(cases)} END"
 
 
 def keyword_evidence(
@@ -107,40 +153,21 @@ def keyword_evidence(
 
     An entry whose match spans two fields has no single field to show and yields no row.
     """
-    clean = {}
-    for field in fields:
-        value = F.coalesce(F.col(field).cast("string"), F.lit(""))
-        clean[f"__{field}"] = clean_markup(value) if markup else value
-    texts = df.select(*key, *[c.alias(name) for name, c in clean.items()])
+    values = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
+    texts = df.select(
+        *key,
+        *[(clean_markup(v) if markup else v).alias(f"__f{i}") for i, v in enumerate(values)],
+    )
+    finder = _Finder(dictionary)
     texts = texts.select(
-        "*", *[F.lower(F.upper(F.col(name))).alias(f"{name}_folded") for name in clean]
+        "*",
+        *[finder.words(_folded(F.col(f"__f{i}"))).alias(f"__w{i}") for i in range(len(fields))],
     )
-
-    records = []
-    for entry in dictionary:
-        flags = "(?iUd:" if not entry.case_sensitive else "(?Ud:"
-        located = rf"(?s:^(.*?))({flags}{entry.anchored}))"
-        record = F.lit(None)
-        for field in reversed(fields):
-            text = F.col(f"__{field}")
-            before = F.regexp_extract(text, located, 1)
-            found = F.regexp_extract(text, located, 2)
-            start = F.greatest(F.length(before) - context, F.lit(0))
-            window = F.substring(
-                text, start + 1, F.length(before) - start + F.length(found) + context
-            )
-            evidence = F.struct(
-                F.lit(entry.tag).alias("tag"),
-                F.lit(field).alias("field"),
-                F.concat(F.lit("..."), patterns.strip(window), F.lit("...")).alias("snippet"),
-                F.lit(entry.pattern).alias("pattern"),
-                F.lit(entry.anchored).alias("effective_pattern"),
-            )
-            hit = _hit(text, F.col(f"__{field}_folded"), entry)
-            record = F.when(hit, evidence).otherwise(record)
-        records.append(record)
-    return texts.select(*key, F.explode(F.array_compact(F.array(*records))).alias("e")).select(
-        *key, "e.*"
+    records = ", ".join(_evidence(finder, entry, fields, context) for entry in dictionary)
+    found = texts.select(*key, F.explode(F.expr(f"array_compact(array({records}))")).alias("e"))
+    snippet = F.concat(F.lit("..."), patterns.strip(F.col("e.snippet")), F.lit("..."))
+    return found.select(
+        *key, "e.tag", "e.field", snippet.alias("snippet"), "e.pattern", "e.effective_pattern"
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagloom.functions import patterns
-from tagloom.functions.patterns import WS, strip
+from tagloom.functions.patterns import WS, collapse_spaces, strip
 
 # Entities decoded by plain string replacement; "&amp;" must come last so that
 # "&amp;lt;" becomes "&lt;" and is not decoded twice.
@@ -55,12 +55,16 @@ def decode_entities(text: Column) -> Column:
     decoded = text
     for name, char in COMMON_ENTITIES.items():
         decoded = F.replace(decoded, F.lit(name), F.lit(char))
+    decoded = F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
     return F.when(rare, _decode_any_entity(F.when(rare, text))).otherwise(decoded)
 
 
 def strip_tags(text: Column) -> Column:
     """Drop markup tags and collapse white space."""
-    return strip(patterns.replace(patterns.replace(text, "<[^>]+>", " "), f"{WS}+", " "))
+    untagged = F.when(
+        F.contains(text, F.lit("<")), F.regexp_replace(text, "<[^>]+>", " ")
+    ).otherwise(text)
+    return collapse_spaces(untagged)
 
 
 def clean_markup(text: Column) -> Column:
@@ -75,10 +79,9 @@ def strip_markdown(text: Column) -> Column:
         (r"\*\*([^*]+)\*\*", "$1"),
         (r"\*([^*]+)\*", "$1"),
         (rf"(?m)^[-*]{WS}+", ""),
-        (f"{WS}+", " "),
     ]:
         text = patterns.replace(text, pattern, replacement)
-    return strip(text)
+    return collapse_spaces(text)
 
 
 def _ascii_words(words: Sequence[str]) -> str:

@@ -31,6 +31,15 @@ def one_per_key(
     return kept.select(*key, *[F.col(f"__row.{c}") for c in rest]).select(*df.columns)
 
 
+def spread_scan(scan: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Spread a scan over the cores when its files give fewer partitions than that.
+
+    A table of many files is left as it is, so its texts are not shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(*by) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def salted_join(
     large: DataFrame,
     lookup: DataFrame,

@@ -153,7 +153,7 @@ def has_required(rows: DataFrame, required: Sequence[str]) -> Column:
         if path in rows.columns:
             tests.append(F.coalesce(F.col(path) != "", F.lit(False)))
         else:
-            tests.append(coerce.is_truthy(F.col("raw"), path))
+            tests.append(coerce.is_truthy(path))
     return reduce(lambda a, b: a & b, tests)
 
 
@@ -200,13 +200,15 @@ def extract(raw_rows: DataFrame, spec: PostingSpec, gate: bool = True) -> DataFr
     mapped = map_fields(valid, spec)
     if gate:
         mapped = mapped.where(~is_non_tech_title(F.col("title")))
-    rows = derive(mapped, spec).withColumns(
-        {"source": F.lit(spec.source), "is_active": F.lit(True)}
+    rows = derive(mapped, spec)
+    constants = {"source": F.lit(spec.source), "is_active": F.lit(True)}
+    missing = F.lit(None).cast("string")
+    return rows.select(
+        *[
+            name if name in rows.columns else constants.get(name, missing).alias(name)
+            for name in JOB_COLUMNS
+        ]
     )
-    for name in JOB_COLUMNS:
-        if name not in rows.columns:
-            rows = rows.withColumn(name, F.lit(None).cast("string"))
-    return rows.select(*JOB_COLUMNS)
 
 
 def read_postings(payloads: DataFrame, companies: DataFrame) -> DataFrame:

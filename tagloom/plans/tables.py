@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions.rules import any_of, at_least
+from tagloom.operators.keys import spread_scan
 from tagloom.operators.serving import active_view
 
 AS_OF = "2001-08-01 12:00:00"
@@ -46,9 +47,18 @@ SCHEMAS = {
 }
 
 
+# Keys of the tables with long texts, whose rows are worth spreading before heavy work.
+TEXT_KEYS = {
+    "documents": ["doc_id"],
+    "pages": ["page_id"],
+    "conversations": ["conv_id", "turn"],
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
-    return reader.parquet(f"{sf_dir}/{name}.parquet")
+    rows = reader.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_scan(rows, TEXT_KEYS[name]) if name in TEXT_KEYS else rows
 
 
 def as_of(text: str = AS_OF):
