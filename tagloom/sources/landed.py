@@ -28,7 +28,7 @@ def read_landed(spark: SparkSession, root: str) -> DataFrame:
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
     """List documents stored one per file as ``…/source=S/company=C/<file>``."""
     path = F.col("_metadata.file_path")
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     return files.select(
         F.regexp_extract(path, "/source=([^/]+)/", 1).alias("source"),
         F.lit("list").alias("kind"),
