@@ -8,15 +8,15 @@ Unicode flag stated for ``\\b``, ``\\w`` and case folding, and unix-lines mode s
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# All white space, spelled out: the ASCII separators included, which Java's \\s leaves out.
-_SPACES = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WS = f"[ {_SPACES}]"
+# All white space but the blank, spelled out: the ASCII separators are not in Java's class.
+_LATIN_SPACES = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
+_FAR_SPACES = r"\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS = f"[ {_LATIN_SPACES}{_FAR_SPACES}]"
 
 
 def java_regex(pattern: str, ignore_case: bool = False) -> str:
@@ -49,9 +49,13 @@ def replace(col: Column, pattern: str, replacement: str) -> Column:
 def collapse_spaces(col: Column) -> Column:
     """One blank for every run of white space, none at the ends.
 
-    A lone blank is no match, so ordinary text is hardly rewritten.
+    Spaces outside Latin-1 are looked for only in texts that can hold them. A lone blank
+    is no match, so ordinary text is hardly rewritten.
     """
-    return F.trim(replace(col, f"{WS}{{2,}}|[{_SPACES}]", " "))
+    may_be_far = (F.octet_length(col) != F.length(col)) & F.rlike(col, F.lit(r"[\u1680-\u3000]"))
+    near = F.when(may_be_far, replace(col, f"[{_FAR_SPACES}]", " ")).otherwise(col)
+    runs = f"[{_LATIN_SPACES}][ {_LATIN_SPACES}]*| [ {_LATIN_SPACES}]+"
+    return F.trim(replace(near, runs, " "))
 
 
 def strip(col: Column) -> Column:
@@ -138,24 +142,3 @@ def lead_words(pattern: str) -> list[LeadWord] | None:
             return None
         words.append(LeadWord(word.group(1).lower(), whole, literal))
     return words
-
-
-def any_word_regex(words: Iterable[LeadWord]) -> tuple[str, dict[str, str]]:
-    """One regex that finds all lead words in a folded text, and the find for each word.
-
-    A word that begins with another, shorter lead word is found as the shorter one, so
-    that no word start can be taken by two alternatives. Alternatives are grouped by
-    their first letter.
-    """
-    whole = {w.text for w in words if w.whole}
-    open_ended = {w.text for w in words if not w.whole}
-    found_as = {}
-    for text in whole | open_ended:
-        starts = [o for o in open_ended if text.startswith(o)]
-        found_as[text] = min(starts, key=len, default=text)
-    by_letter: dict[str, list[str]] = {}
-    for text in sorted(set(found_as.values())):
-        end = "" if text in open_ended else "(?![a-z0-9])"
-        by_letter.setdefault(text[0], []).append(re.escape(text[1:]) + end)
-    groups = "|".join(f"{letter}(?:{'|'.join(ends)})" for letter, ends in by_letter.items())
-    return f"(?<![a-z0-9])(?:{groups})", found_as

@@ -64,29 +64,33 @@ def _folded(text: Column) -> Column:
 
 
 class _Finder:
-    """Test for each dictionary entry against a text and the lead words found in it.
+    """Cheap tests that come before the regex of a dictionary entry.
 
-    One pass over a text finds which lead words occur at all. The regex of an entry runs
-    only on texts with one of its lead words.
+    A text is split into words once and only the lead words of the dictionary are kept.
+    The regex of an entry runs on texts that have one of its lead words.
     """
 
     def __init__(self, dictionary: Sequence[Keyword]):
         self.lead = {entry: patterns.lead_words(entry.anchored) for entry in dictionary}
         words = [w for found in self.lead.values() for w in found or []]
-        self.regex, self.found_as = patterns.any_word_regex(words) if words else (None, {})
+        self.whole = sorted({w.text for w in words if w.whole})
 
     def words(self, folded: Column) -> Column:
-        if self.regex is None:
-            return F.array().cast("array<string>")
-        return F.array_distinct(F.regexp_extract_all(folded, F.lit(self.regex), F.lit(0)))
+        known = F.array(*[F.lit(w) for w in self.whole]).cast("array<string>")
+        return F.array_intersect(F.split(folded, "[^a-z0-9]+"), known)
 
-    def test(self, text: str, words: str, entry: Keyword) -> str:
+    def test(self, entry: Keyword, text: str, folded: str, words: str) -> str:
         regex = patterns.matches_sql(text, entry.anchored, ignore_case=not entry.case_sensitive)
         if self.lead[entry] is None:
             return regex
         guards = []
         for word in self.lead[entry]:
-            guard = f"array_contains({words}, {patterns.sql_text(self.found_as[word.text])})"
+            wanted = patterns.sql_text(word.text)
+            guard = (
+                f"array_contains({words}, {wanted})"
+                if word.whole
+                else f"contains({folded}, {wanted})"
+            )
             if entry.case_sensitive:
                 guard = f"({guard} AND contains({text}, {patterns.sql_text(word.literal)}))"
             guards.append(guard)
@@ -110,13 +114,15 @@ def with_keyword_tags(
         parts = [clean_markup(p) for p in parts]
     finder = _Finder(dictionary)
     cleaned = df.withColumn("__text", F.concat_ws(" ", *parts))
-    cleaned = cleaned.withColumn("__words", finder.words(_folded(F.col("__text"))))
+    cleaned = cleaned.withColumn("__folded", _folded(F.col("__text")))
+    cleaned = cleaned.withColumn("__words", finder.words(F.col("__folded")))
     hits = ", ".join(
-        f"CASE WHEN {finder.test('__text', '__words', e)} THEN {patterns.sql_text(e.tag)} END"
-        for e in dictionary
+        f"CASE WHEN {finder.test(entry, '__text', '__folded', '__words')} "
+        f"THEN {patterns.sql_text(entry.tag)} END"
+        for entry in dictionary
     )
     tags = F.expr(f"array_compact(CAST(array({hits}) AS array<string>))")
-    return cleaned.withColumn(out, tags).drop("__text", "__words")
+    return cleaned.withColumn(out, tags).drop("__text", "__folded", "__words")
 
 
 def _evidence(finder: _Finder, entry: Keyword, fields: Sequence[str], context: int) -> str:
@@ -132,7 +138,7 @@ def _evidence(finder: _Finder, entry: Keyword, fields: Sequence[str], context: i
             f"{context}) + length({text}) - length(p[0]) - length(p[1]) + {context})"
         )
         cases.append(
-            f"WHEN {finder.test(text, f'__w{i}', entry)} THEN named_struct("
+            f"WHEN {finder.test(entry, text, f'__g{i}', f'__w{i}')} THEN named_struct("
             f"'tag', {patterns.sql_text(entry.tag)}, 'field', {patterns.sql_text(field)}, "
             f"'snippet', get(transform(array({around}), p -> {shown}), 0), "
             f"'pattern', {patterns.sql_text(entry.pattern)}, "
@@ -159,10 +165,9 @@ def keyword_evidence(
         *[(clean_markup(v) if markup else v).alias(f"__f{i}") for i, v in enumerate(values)],
     )
     finder = _Finder(dictionary)
-    texts = texts.select(
-        "*",
-        *[finder.words(_folded(F.col(f"__f{i}"))).alias(f"__w{i}") for i in range(len(fields))],
-    )
+    at = range(len(fields))
+    texts = texts.select("*", *[_folded(F.col(f"__f{i}")).alias(f"__g{i}") for i in at])
+    texts = texts.select("*", *[finder.words(F.col(f"__g{i}")).alias(f"__w{i}") for i in at])
     records = ", ".join(_evidence(finder, entry, fields, context) for entry in dictionary)
     found = texts.select(*key, F.explode(F.expr(f"array_compact(array({records}))")).alias("e"))
     snippet = F.concat(F.lit("..."), patterns.strip(F.col("e.snippet")), F.lit("..."))

@@ -138,7 +138,7 @@ def test_top_per_group_uses_a_group_limit(spark):
     top = top_per_group(frame, ["g"], [F.col("id").asc()], 3, "n")
     assert sorted(r.id for r in top.collect()) == [0, 1, 2, 3, 4]
     plan = top._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
+    assert plan.count("WindowGroupLimit") >= 2
 
 
 def test_one_per_key(spark):
