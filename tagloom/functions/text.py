@@ -170,11 +170,10 @@ def order_by_category(
     rank_of = {name: i for i, name in enumerate(priority)}
     unknown = rank_of.get("other", len(priority))
     pairs = [
-        F.lit(x)
+        f"{patterns.sql_text(tag)}, {rank_of.get(category, len(priority))}"
         for tag, category in category_of.items()
-        for x in (tag, rank_of.get(category, len(priority)))
     ]
-    ranks = F.create_map(*pairs)
+    ranks = F.expr(f"map({', '.join(pairs)})")
     keyed = F.transform(
         tags,
         lambda tag, i: F.struct(

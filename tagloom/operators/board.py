@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.session import small_table
+
 
 def board_state(
     actions: DataFrame,
@@ -53,9 +55,8 @@ def latest_action(
 
 def board_counts(state: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Entries per board column, with a 0 for empty columns."""
-    fixed = state.sparkSession.createDataFrame(
-        [(name, i) for i, name in enumerate(columns)], "column string, position int"
-    )
+    numbered = [(name, i) for i, name in enumerate(columns)]
+    fixed = small_table(state.sparkSession, numbered, ["column", "position"])
     counted = state.groupBy("column").agg(F.count("*").alias("n"))
     return fixed.join(counted, "column", "left").select(
         "position", "column", F.coalesce("n", F.lit(0)).alias("count")

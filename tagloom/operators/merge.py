@@ -150,12 +150,12 @@ def write_version(jobs: DataFrame, root: str, version: str) -> str:
     """Write a whole table version; readers see it once Spark marks it complete.
 
     Active rows are a folder of their own and sorted by age within files, so that the
-    serving filters skip the rest by folder and by file statistics.
+    serving filters skip the rest by folder and by file statistics. The rows stay in the
+    partitions of the merge; they are not shuffled again.
     """
     path = f"{root}/version={version}"
     (
-        jobs.repartition("is_active", F.pmod(F.xxhash64("id"), F.lit(_write_buckets(jobs))))
-        .sortWithinPartitions("is_active", "first_seen_at")
+        jobs.sortWithinPartitions("is_active", "first_seen_at")
         .write.mode("overwrite")
         .partitionBy("is_active")
         .parquet(path)
@@ -163,10 +163,6 @@ def write_version(jobs: DataFrame, root: str, version: str) -> str:
     return path
 
 
-def _write_buckets(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def latest_version(spark: SparkSession, root: str, before: str | None = None) -> str | None:
     """Name of the newest complete version, older than ``before`` if that is given."""
     jvm = spark.sparkContext._jvm

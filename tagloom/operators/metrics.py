@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.session import small_table
+
 
 def hours_between(earlier: Column, later: Column) -> Column:
     """Whole hours, rounded down."""
@@ -112,7 +114,7 @@ def zero_filled_facets(
     counted = facet_counts(rows, facets, conditions)
     fixed = [(name, value) for name, values in options.items() for value in values]
     if fixed:
-        zeros = rows.sparkSession.createDataFrame(fixed, "facet string, value string")
+        zeros = small_table(rows.sparkSession, fixed, ["facet", "value"])
         counted = (
             counted.unionByName(zeros.withColumn("count", F.lit(0).cast("bigint")))
             .groupBy("facet", "value")

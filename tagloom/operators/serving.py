@@ -90,7 +90,8 @@ def page(
     """One page in time order, newest first by default; ties by id.
 
     Early pages are a sort with a limit. A page far down would drag all rows before it
-    through one place, so it is cut out of the distributed row numbers instead.
+    through one place; there only the sort columns are numbered, across partitions, and
+    the few rows of the page are looked up.
     """
     number = max(1, number)
     skip = (number - 1) * size
@@ -98,12 +99,10 @@ def page(
     if skip + size <= SHALLOW_ROWS:
         return rows.orderBy(*order).offset(skip).limit(size)
     position = F.col("__position")
-    numbered = number_rows(rows, order, "__position")
-    return (
-        numbered.where((position > skip) & (position <= skip + size))
-        .orderBy("__position")
-        .drop("__position")
-    )
+    numbered = number_rows(rows.select(by, tie), order, "__position")
+    wanted = numbered.where((position > skip) & (position <= skip + size)).select(tie)
+    # at most ``size`` rows
+    return rows.join(F.broadcast(wanted), tie, "left_semi").orderBy(*order)
 
 
 def _like_literal(text: str) -> str:

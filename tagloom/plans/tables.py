@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tagloom.functions.rules import any_of, at_least
 from tagloom.operators.keys import spread_scan
 from tagloom.operators.serving import active_view
+from tagloom.session import small_table
 
 AS_OF = "2001-08-01 12:00:00"
 
@@ -66,7 +67,7 @@ def as_of(text: str = AS_OF):
 
 
 def brand_categories(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(GROUP_OF.items()), "tag string, category string")
+    return small_table(spark, list(GROUP_OF.items()), ["tag", "category"])
 
 
 def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:

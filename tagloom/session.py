@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tagloom.functions.patterns import sql_text
+
 
 def local_session(cores: int | str = "*", app: str = "tagloom") -> SparkSession:
     """A local session with the settings the results rely on (UTC, AQE)."""
@@ -25,6 +28,17 @@ def local_session(cores: int | str = "*", app: str = "tagloom") -> SparkSession:
     )
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], columns: Sequence[str]) -> DataFrame:
+    """A fixed list of values as a table whose size the optimiser knows."""
+
+    def literal(value: object) -> str:
+        return sql_text(value) if isinstance(value, str) else str(value).upper()
+
+    listed = ", ".join(f"({', '.join(literal(v) for v in row)})" for row in rows)
+    names = ", ".join(f"`{c}`" for c in columns)
+    return spark.sql(f"SELECT * FROM VALUES {listed} AS t({names})")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: the cluster's ``spark.checkpoint.dir``.
 
