@@ -33,7 +33,7 @@ class Field:
     append_array: tuple[str, str] | None = None
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class PostingSpec:
     source: str
     fields: Sequence[Field]
@@ -157,8 +157,8 @@ def has_required(rows: DataFrame, required: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
-def map_fields(rows: DataFrame, spec: PostingSpec) -> DataFrame:
-    """Direct field mappings plus company name and slug."""
+def map_fields(rows: DataFrame, spec: PostingSpec, carry: Sequence[str] = ()) -> DataFrame:
+    """Direct field mappings plus company name and slug, and the ``carry`` columns."""
     mapped = []
     for field in spec.fields:
         value = _raw_value(rows, field.path)
@@ -168,7 +168,7 @@ def map_fields(rows: DataFrame, spec: PostingSpec) -> DataFrame:
             mapped.append(value.alias(field.name))  # already typed by the source
         else:
             mapped.append(coerce.coerce(value, field.kind, field.empty_as_null).alias(field.name))
-    return rows.select("company", "company_slug", *mapped)
+    return rows.select("company", "company_slug", *carry, *mapped)
 
 
 def derive(rows: DataFrame, spec: PostingSpec) -> DataFrame:
@@ -190,20 +190,23 @@ def derive(rows: DataFrame, spec: PostingSpec) -> DataFrame:
     )
 
 
-def extract(raw_rows: DataFrame, spec: PostingSpec, gate: bool = True) -> DataFrame:
+def extract(
+    raw_rows: DataFrame, spec: PostingSpec, gate: bool = True, carry: Sequence[str] = ()
+) -> DataFrame:
     """Validated, mapped and derived rows of one source in the canonical columns.
 
     Titles outside technical work are dropped before any tag is looked for; with
     ``gate=False`` they stay, with an empty tag array.
     """
     valid = raw_rows.where(has_required(raw_rows, spec.required))
-    mapped = map_fields(valid, spec)
+    mapped = map_fields(valid, spec, carry)
     if gate:
         mapped = mapped.where(~is_non_tech_title(F.col("title")))
     rows = derive(mapped, spec)
     constants = {"source": F.lit(spec.source), "is_active": F.lit(True)}
     missing = F.lit(None).cast("string")
     return rows.select(
+        *carry,
         *[
             name if name in rows.columns else constants.get(name, missing).alias(name)
             for name in JOB_COLUMNS
@@ -211,12 +214,15 @@ def extract(raw_rows: DataFrame, spec: PostingSpec, gate: bool = True) -> DataFr
     )
 
 
-def read_postings(payloads: DataFrame, companies: DataFrame) -> DataFrame:
+def read_postings(
+    payloads: DataFrame, companies: DataFrame, carry: Sequence[str] = ()
+) -> DataFrame:
     """Canonical rows of all four sources.
 
-    ``payloads`` has source, kind, company_slug and payload (see ``sources.landed``),
-    where a ``detail`` payload also carries its ``detail_url``. ``companies`` has source,
-    slug, name, api_url and base_url. A source without readable payloads adds no rows.
+    ``payloads`` has source, kind, company_slug, detail_url and payload (see
+    ``sources.landed``), ``companies`` has source, slug, name, api_url and base_url. A
+    source without readable payloads adds no rows. Columns in ``carry``, such as a run id,
+    are kept, and lists and details meet only within them.
     """
     names = companies.select(
         "source",
@@ -229,28 +235,30 @@ def read_postings(payloads: DataFrame, companies: DataFrame) -> DataFrame:
     known = payloads.join(names, ["source", "company_slug"])
 
     def lists(source: str) -> DataFrame:
-        return known.where((F.col("source") == source) & (F.col("kind") == "list"))
+        chosen = known.where((F.col("source") == source) & (F.col("kind") == "list"))
+        return chosen.select(*carry, "company_slug", "company", "api_url", "base_url", "payload")
 
     def details(source: str) -> DataFrame:
         chosen = payloads.where((F.col("source") == source) & (F.col("kind") == "detail"))
-        return chosen.select(F.col("detail_url").alias("_detail_url"), "payload")
+        return chosen.select(*carry, F.col("detail_url").alias("_detail_url"), "payload")
+
+    def attach(rows: DataFrame, pages: DataFrame) -> DataFrame:
+        return landed.attach_details(rows, pages, "_detail_url", within=carry)
 
     table = landed.markdown_rows(lists("workable"), WORKABLE_COLUMNS, "_detail_url")
     absolute = details("workable").where(F.col("_detail_url").startswith("https://"))
-    table = landed.attach_details(
-        table, absolute.withColumnRenamed("payload", "description_html"), "_detail_url"
-    )
+    table = attach(table, absolute.withColumnRenamed("payload", "description_html"))
     with_api = lists("workday").where(F.coalesce(F.col("api_url"), F.lit("")) != "")
     board = landed.board_keys(landed.json_items(with_api, WORKDAY.list_key))
-    board = landed.attach_details(board, landed.board_details(details("workday")), "_detail_url")
-
-    rows = [
-        extract(landed.json_items(lists("greenhouse"), GREENHOUSE.list_key), GREENHOUSE),
-        extract(landed.json_items(lists("lever"), LEVER.list_key), LEVER),
-        extract(table, WORKABLE),
-        extract(board, WORKDAY),
-    ]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    board = attach(board, landed.board_details(details("workday")))
+    raw = {
+        GREENHOUSE: landed.json_items(lists("greenhouse"), GREENHOUSE.list_key),
+        LEVER: landed.json_items(lists("lever"), LEVER.list_key),
+        WORKABLE: table,
+        WORKDAY: board,
+    }
+    rows = [extract(items, spec, carry=carry) for spec, items in raw.items()]
+    return reduce(lambda a, b: a.unionByName(b), rows)
 
 
 def in_region(postings: DataFrame) -> DataFrame:

@@ -94,23 +94,27 @@ def markdown_rows(payloads: DataFrame, columns: Sequence[str], url_column: str)
 
 
 def attach_details(
-    rows: DataFrame, details: DataFrame, key: str, row_id: Sequence[str] = ("company_slug", "pos")
+    rows: DataFrame,
+    details: DataFrame,
+    key: str,
+    row_id: Sequence[str] = ("company_slug", "pos"),
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """Left join the detail columns by ``key``; rows without a detail keep nulls.
 
-    One detail per key is kept. Rows whose key is null can match nothing, so they get a
-    key made from ``row_id`` and do not all meet in one shuffle partition.
+    One detail per key is kept, and per value of the ``within`` columns both sides have.
+    Rows whose key is null can match nothing, so they get a key made from ``row_id`` and
+    do not all meet in one shuffle partition.
     """
-    payload = [c for c in details.columns if c != key]
+    payload = [c for c in details.columns if c != key and c not in within]
     one_each = (
         details.where(F.col(key).isNotNull())
-        .groupBy(key)
+        .groupBy(F.col(key).alias("__key"), *within)
         .agg(F.max(F.struct(*payload)).alias("__detail"))
-        .withColumnRenamed(key, "__key")
     )
     spread = F.concat(F.lit("\u0000"), F.xxhash64(*row_id).cast("string"))
     keyed = rows.withColumn("__key", F.coalesce(F.col(key), spread))
-    return keyed.join(one_each, "__key", "left").select(
+    return keyed.join(one_each, ["__key", *within], "left").select(
         *rows.columns, *[F.col(f"__detail.{c}").alias(c) for c in payload]
     )
 
@@ -143,7 +147,7 @@ def board_keys(
 
 
 def board_details(details: DataFrame) -> DataFrame:
-    """``_detail_url, payload`` JSON to ``_detail_url, description_html, _posted_at``."""
+    """Replace the JSON ``payload`` by ``description_html`` and ``_posted_at``."""
     info = F.try_parse_json("payload")
 
     def field(name: str) -> Column:
@@ -151,7 +155,7 @@ def board_details(details: DataFrame) -> DataFrame:
         return F.nullif(value, F.lit(""))
 
     return details.select(
-        "_detail_url",
+        *[c for c in details.columns if c != "payload"],
         field("jobDescription").alias("description_html"),
         us_or_iso_date(field("startDate")).alias("_posted_at"),
     )

@@ -14,12 +14,11 @@ from tagloom.sources.landed import LANDING_SCHEMA
 RUN_FORMAT = "yyyyMMdd'T'HHmmss"
 
 
-def apply_run(payloads: DataFrame, companies: DataFrame, target: str, version: str, run_id: str):
-    """Merge the payloads of one run into the table version before ``version``."""
-    spark = payloads.sparkSession
+def apply_run(
+    spark: SparkSession, incoming: DataFrame, target: str, version: str, run_id: str
+) -> str:
+    """Merge the in-region rows of one run into the newest table version before ``version``."""
     current = read_version(spark, target, latest_version(spark, target, before=version))
-    # read twice by the merge; the rules should not run twice
-    incoming = cut_lineage(in_region(read_postings(payloads, companies)))
     as_of = F.to_timestamp(F.lit(run_id), RUN_FORMAT)
     merged = merge_snapshot(current, incoming, as_of)
     return write_version(merged.drop("change_type"), target, version)
@@ -37,11 +36,13 @@ def ingest_landed(
     """
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
+        # the rules run once for the whole batch; the merges read their result
+        rows = cut_lineage(in_region(read_postings(batch, companies, carry=["run_id"])))
         # one small row per landed run
-        runs = [r.run_id for r in batch.select("run_id").distinct().orderBy("run_id").collect()]
+        runs = sorted(r.run_id for r in rows.select("run_id").distinct().collect())
         for run_id in runs:
-            payloads = batch.where(F.col("run_id") == run_id).drop("run_id")
-            apply_run(payloads, companies, target, f"{batch_id:010d}-{run_id}", run_id)
+            incoming = rows.where(F.col("run_id") == run_id).drop("run_id")
+            apply_run(spark, incoming, target, f"{batch_id:010d}-{run_id}", run_id)
 
     landed = spark.readStream.schema(f"{LANDING_SCHEMA}, run_id string").json(landing)
     return (
