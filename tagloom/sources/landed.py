@@ -11,18 +11,21 @@ from tagloom.functions.coerce import us_or_iso_date
 from tagloom.functions.patterns import strip
 
 # A landed payload: the whole answer of one request, kept as text. ``kind`` is "list" for
-# the postings of a company and "detail" for the page at ``detail_url``. The daily job
-# writes one folder run_id=<yyyyMMdd'T'HHmmss> per run.
-LANDING_SCHEMA = (
+# the postings of a company and "detail" for the page at ``detail_url``.
+PAYLOAD_SCHEMA = (
     "source string, kind string, company_slug string, detail_url string, payload string"
 )
 
+# The daily job writes JSON lines to run_id=<yyyyMMdd'T'HHmmss>/source=S/kind=K, so that the
+# readers of one source and kind open no other files.
+LANDING_SCHEMA = f"{PAYLOAD_SCHEMA}, run_id string"
+
 _LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
 def read_landed(spark: SparkSession, root: str) -> DataFrame:
-    """Landed payloads below ``root`` (JSON lines), with ``run_id`` from the folder."""
-    return spark.read.schema(f"{LANDING_SCHEMA}, run_id string").json(root)
+    """Landed payloads below ``root``; run, source and kind come from the folders."""
+    return spark.read.schema(LANDING_SCHEMA).json(root)
 
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:

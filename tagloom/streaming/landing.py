@@ -44,7 +44,7 @@ def ingest_landed(
             incoming = rows.where(F.col("run_id") == run_id).drop("run_id")
             apply_run(spark, incoming, target, f"{batch_id:010d}-{run_id}", run_id)
 
-    landed = spark.readStream.schema(f"{LANDING_SCHEMA}, run_id string").json(landing)
+    landed = spark.readStream.schema(LANDING_SCHEMA).json(landing)
     return (
         landed.writeStream.foreachBatch(merge_batch)
         .option("checkpointLocation", checkpoint)

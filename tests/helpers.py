@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tagloom.sources.landed import LANDING_SCHEMA
+from tagloom.sources.landed import PAYLOAD_SCHEMA
 
 COMPANY_SCHEMA = "source string, slug string, name string, api_url string, base_url string"
 BOARD_API = "https://fix.example.com/wday/cxs/fix/Careers/jobs"
@@ -32,7 +32,7 @@ def payloads(spark, rows):
         (s, k, c, u, d if isinstance(d, str) or d is None else json.dumps(d))
         for s, k, c, u, d in rows
     ]
-    return spark.createDataFrame(text, LANDING_SCHEMA)
+    return spark.createDataFrame(text, PAYLOAD_SCHEMA)
 
 
 def greenhouse_job(title="Engineer", content="", **more):

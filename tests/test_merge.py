@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import merge
 from tagloom.operators.keys import duplicate_keys
+from tagloom.sources.landed import read_landed
 from tagloom.streaming.landing import ingest_landed
 
 OLD, NOW = datetime(2026, 5, 1), datetime(2026, 5, 9, 6)
@@ -128,11 +129,21 @@ def test_apply_enrichment(spark):
 
 
 def land(folder, run_id, rows):
-    path = folder / f"run_id={run_id}"
-    path.mkdir(parents=True)
-    names = ["source", "kind", "company_slug", "detail_url", "payload"]
-    lines = [json.dumps(dict(zip(names, row, strict=True))) for row in rows]
-    (path / "part.json").write_text("\n".join(lines))
+    for i, (source, kind, slug, url, payload) in enumerate(rows):
+        path = folder / f"run_id={run_id}" / f"source={source}" / f"kind={kind}"
+        path.mkdir(parents=True, exist_ok=True)
+        line = {"company_slug": slug, "detail_url": url, "payload": payload}
+        (path / f"part-{i}.json").write_text(json.dumps(line))
+
+
+def test_readers_open_only_their_files(spark, tmp_path):
+    land(tmp_path, "20260501T060000", [board(1), ("lever", "list", "bolt", None, "[]")])
+    rows = read_landed(spark, str(tmp_path))
+    assert sorted((r.source, r.run_id) for r in rows.collect()) == [
+        ("greenhouse", "20260501T060000"), ("lever", "20260501T060000"),
+    ]
+    plan = rows.where("source = 'lever' AND kind = 'list'")._jdf.queryExecution().executedPlan()
+    assert "PartitionFilters: [isnotnull(source" in plan.toString()
 
 
 def board(*ids):
