@@ -9,10 +9,13 @@ from pyspark.sql.streaming import StreamingQuery
 from tagloom.operators.merge import latest_version, merge_snapshot, read_version, write_version
 from tagloom.plans.postings import in_region, read_postings
 from tagloom.session import cut_lineage
-from tagloom.sources.landed import LANDING_SCHEMA
+from tagloom.sources.landed import read_landed
 
 RUN_FORMAT = "yyyyMMdd'T'HHmmss"
 
+# What a file listing shows; the content column is never selected and so never read.
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def apply_run(
     spark: SparkSession, incoming: DataFrame, target: str, version: str, run_id: str
@@ -29,24 +32,32 @@ def ingest_landed(
 ) -> StreamingQuery:
     """Process everything that has landed since the last call, then stop.
 
-    One batch may hold several runs; they are applied in the order of their ids, because
-    a soft delete needs one company list at a time. A version is named by batch and run,
-    so a batch that is repeated after a failure writes the same versions again from the
-    same predecessor.
+    The stream only watches which runs got new files; it does not open them. Each such run
+    is read whole from its folder, with the readers of one source opening only its files,
+    so a file that lands late cannot make the rest of its run look gone. Runs are merged
+    in the order of their ids, because a soft delete needs one company list at a time. A
+    version is named by batch and run, so a batch that is repeated after a failure writes
+    the same versions again from the same predecessor.
     """
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        # the rules run once for the whole batch; the merges read their result
-        rows = cut_lineage(in_region(read_postings(batch, companies, carry=["run_id"])))
         # one small row per landed run
-        runs = sorted(r.run_id for r in rows.select("run_id").distinct().collect())
+        runs = sorted(r.run_id for r in batch.distinct().collect())
+        payloads = read_landed(spark, landing).where(F.col("run_id").isin(runs))
+        # the rules run once for all runs of the batch; the merges read their result
+        rows = cut_lineage(in_region(read_postings(payloads, companies, carry=["run_id"])))
         for run_id in runs:
             incoming = rows.where(F.col("run_id") == run_id).drop("run_id")
             apply_run(spark, incoming, target, f"{batch_id:010d}-{run_id}", run_id)
 
-    landed = spark.readStream.schema(LANDING_SCHEMA).json(landing)
+    files = (
+        spark.readStream.format("binaryFile")
+        .schema(FILE_SCHEMA)
+        .load(f"{landing}/run_id=*/source=*/kind=*")
+        .select(F.regexp_extract("path", "/run_id=([^/]+)/", 1).alias("run_id"))
+    )
     return (
-        landed.writeStream.foreachBatch(merge_batch)
+        files.writeStream.foreachBatch(merge_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
