@@ -163,7 +163,7 @@ def document_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(
                 F.array(
                     F.struct(
-                        F.col("doc_id").alias("id"),
+                        doc.alias("id"),
                         title.alias("title"),
                         F.concat(F.lit("https://g.example/"), doc).alias("absolute_url"),
                         F.struct(place.alias("name")).alias("location"),

@@ -257,10 +257,10 @@ def text_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STRIP_SQL = (
     "trim(regexp_replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '[\\s\\v]+', ' ', 'g'))"
 )
-_DECODE_SQL = (
-    "replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'),"
-    " '&amp;', '&')"
-)
+# The four references the pages hold; some are cut off before their semicolon.
+_DECODE_SQL = "{0}"
+for _name, _char in [("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")]:
+    _DECODE_SQL = f"regexp_replace({_DECODE_SQL}, '&{_name};?', '{_char}', 'g')"
 
 
 @query(f"SELECT page_id, {_STRIP_SQL.format('html')} AS text FROM pages")
