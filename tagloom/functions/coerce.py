@@ -78,16 +78,15 @@ def coerce(value: Column, kind: str, empty_as_null: bool = False) -> Column:
 def is_truthy(path: str, raw: str = "raw") -> Column:
     """Whether a required raw value is present: not null, empty, zero or false."""
     at = f"`{raw}`, '{json_path(path)}'"
-    text, number = f"try_variant_get({at}, 'string')", f"try_variant_get({at}, 'double')"
+    text = f"try_variant_get({at}, 'string')"
+    # only a text that could stand for an empty value makes the type matter
     return F.expr(
-        f"""coalesce(
-          CASE regexp_extract(schema_of_variant(try_variant_get({at}, 'variant')), '^[A-Z]+', 0)
-            WHEN 'STRING' THEN {text} <> ''
-            WHEN 'BOOLEAN' THEN {text} = 'true'
-            WHEN 'ARRAY' THEN {text} <> '[]'
-            WHEN 'OBJECT' THEN {text} <> '{{}}'
-            ELSE coalesce({number} <> 0, {text} IS NOT NULL)
-          END, false)"""
+        f"""CASE
+          WHEN coalesce({text}, '') = '' THEN false
+          WHEN {text} IN ('false', '[]', '{{}}') OR try_cast({text} AS double) = 0
+            THEN schema_of_variant(try_variant_get({at}, 'variant')) = 'STRING'
+          ELSE true
+        END"""
     )
 
 

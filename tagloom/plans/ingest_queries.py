@@ -130,9 +130,10 @@ def required_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind != "error", F.array(kind)).otherwise(F.array().cast("array<string>")).alias("list"),
         (kind != "click").alias("open"),
     )
-    rows = table(spark, sf_dir, "events").select(
-        "event_id", F.try_parse_json(F.to_json(raw)).alias("raw")
+    payloads = table(spark, sf_dir, "events").select(
+        "event_id", F.to_json(F.array(raw)).alias("payload")
     )
+    rows = landed.json_items(payloads, None)
     needed = ["user_id", "k", "title", "list", "open"]
     return rows.where(postings.has_required(rows, needed)).select("event_id")
 
