@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -42,18 +41,15 @@ def small_table(spark: SparkSession, rows: Sequence[tuple], columns: Sequence[st
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    Only a local session may run without that setting; it then gets a fresh temporary
-    folder, once per session.
+    Without that setting it is a folder in the warehouse, which a session always names and which
+    its executors share as well.
     """
-    sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="run-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
-        folder = sc.getCheckpointDir()
     return folder
 
 
