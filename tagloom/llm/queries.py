@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import contamination, rank_bpe, simhash_ball, token_files
+from tagloom.llm import contamination, quality, rank_bpe, simhash_ball, suffix_dedup, token_files, toxicity
 from tagloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,16 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+@query
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability of each labelled category for every document, low quality before toxicity."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").withColumn("low_quality", 1 - F.col("quality"))
+    found = toxicity.score(docs, labels, ["low_quality", "toxic"])
+    flag = F.col("p_toxic") >= toxicity.TOXIC_FROM
+    return found.select("doc_id", "p_low_quality", "p_toxic", flag.alias("toxic"))
+
+
 @query
 def op4_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
@@ -32,6 +42,20 @@ def op4_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_ball.hex_digits().alias("fingerprint"), "component_id")
 
 
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document loses to documents with smaller ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_dedup.deduplicated(docs)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op7_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
@@ -46,6 +70,15 @@ def op7_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality scores of every document and whether it is kept."""
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score(docs, table(spark, sf_dir, "labels"))
+    kept = F.col("score") >= quality.REJECT_BELOW
+    return found.select("doc_id", *quality.SCORES, kept.alias("kept"))
+
+
 @query
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as flat token files and read back."""
