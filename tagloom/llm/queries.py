@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import contamination, quality, rank_bpe, simhash_ball, suffix_dedup, token_files, toxicity
+from tagloom.llm import bm25, contamination, quality, rank_bpe, simhash_ball, suffix_dedup, token_files, toxicity, transcripts, warc
 from tagloom.llm.common import table
+from tagloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +26,52 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+@query
+def op1_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item whose id is divisible by 20."""
+    index = bm25.index(table(spark, sf_dir, "documents"))
+    asked = table(spark, sf_dir, "benchmark").where(F.col("item_id") % 20 == 0)
+    return bm25.search(index, asked)
+
+
+ORACLES["op1_bm25_wand"] = r"""
+WITH words AS (
+    SELECT doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[0-9a-z\x{80}-\x{10FFFF}]+')) AS word
+    FROM documents),
+asked AS (
+    SELECT item_id, word, count(*) AS uses FROM (
+        SELECT item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[0-9a-z\x{80}-\x{10FFFF}]+')) AS word
+        FROM benchmark WHERE item_id % 20 = 0)
+    GROUP BY ALL),
+lengths AS (SELECT doc_id, count(*) AS length FROM words GROUP BY doc_id),
+total AS (
+    SELECT (SELECT count(*) FROM documents) AS documents,
+        (SELECT sum(length) FROM lengths)::DOUBLE / (SELECT count(*) FROM documents) AS mean),
+postings AS (
+    SELECT doc_id, word, count(*) AS uses FROM words
+    WHERE word IN (SELECT word FROM asked) GROUP BY ALL),
+weights AS (
+    SELECT word, ln(1 + (documents - count(*) + 0.5) / (count(*) + 0.5)) AS weight
+    FROM postings, total GROUP BY word, documents),
+parts AS (
+    SELECT a.item_id, p.doc_id,
+        floor(a.uses * w.weight * (p.uses * 2.2::DOUBLE)
+            / (p.uses + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * l.length / t.mean))
+            * 1000000.0::DOUBLE + 0.5::DOUBLE)::BIGINT AS part
+    FROM asked a JOIN postings p USING (word) JOIN weights w USING (word)
+        JOIN lengths l USING (doc_id), total t),
+scores AS (SELECT item_id, doc_id, sum(part)::BIGINT AS micro FROM parts GROUP BY ALL),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY micro DESC, doc_id) AS rank FROM scores)
+SELECT item_id AS query_id, rank::INTEGER AS rank, doc_id, micro / 1000000.0::DOUBLE AS score
+FROM ranked WHERE rank <= 10
+"""
+
+
 @query
 def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The probability of each labelled category for every document, low quality before toxicity."""
@@ -35,6 +82,17 @@ def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "p_low_quality", "p_toxic", flag.alias("toxic"))
 
 
+@query
+def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back through the capture index."""
+    pages = table(spark, sf_dir, "pages")
+    folder = scratch_path(spark, "warc")
+    shards = warc.index(warc.write(pages, f"{folder}/records"), f"{folder}/index")
+    captures = warc.look_up(shards, f"{folder}/index", pages.select("url"))
+    back = warc.read(captures, f"{folder}/records")
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 @query
 def op4_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
@@ -42,6 +100,15 @@ def op4_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_ball.hex_digits().alias("fingerprint"), "component_id")
 
 
+@query
+def op5_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns recovered from conversations written out as raw transcripts."""
+    lines = transcripts.written_out(table(spark, sf_dir, "conversations"))
+    model = transcripts.fit(lines)
+    found = transcripts.turns(transcripts.labelled(lines, model))
+    return found.select(F.col("conv").alias("conv_id"), "turn", "role", "n_lines", "text", "rendered")
+
+
 @query
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document loses to documents with smaller ids."""

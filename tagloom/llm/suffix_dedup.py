@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -469,3 +470,9 @@ def deduplicated(
             )
 
     return joined.mapInArrow(cut, schema)
+
+
+@F.pandas_udf(T.StringType())
+def whole_characters(data: pd.Series) -> pd.Series:
+    """The text of bytes that may hold parts of characters, without those parts."""
+    return data.map(lambda b: bytes(b).decode("utf-8", "ignore"), na_action="ignore")
