@@ -1,11 +1,11 @@
 """Suffix arrays by induced sorting, and permuted common prefixes.
 
 The text is an integer array that ends with a 0 found nowhere else. Suffixes are classed as smaller
-(S) or larger (L) than their successor; the substrings between leftmost S suffixes are sorted by one
-induction and named, the string of names is solved recursively where names repeat, and a second
-induction from the sorted leftmost S suffixes gives the whole order. Where the alphabet is small the
-induction moves whole runs of a bucket at once; the strings of names, at most half as long at each
-level, are induced entry by entry.
+(S) or larger (L) than their successor; the substrings between leftmost S suffixes are sorted and
+named, the string of names is solved recursively where names repeat, and an induction from the sorted
+leftmost S suffixes gives the whole order. Where the alphabet is small the substrings are sorted by an
+induction too, and inductions move whole runs of a bucket at once; the strings of names, at most half
+as long at each level, have their substrings sorted place by place and are induced entry by entry.
 """
 
 from __future__ import annotations
@@ -80,29 +80,55 @@ def _induced_runs(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sizes: np.nd
 
 def _induced_entries(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     ends = np.cumsum(sizes)
-    head, tail, last = (ends - sizes).tolist(), ends.tolist(), ends.tolist()
-    n, text, kinds = len(t), t.tolist(), is_s.tolist()
-    sa = [-1] * n
-    for i in reversed(lms.tolist()):
-        c = text[i]
-        tail[c] -= 1
-        sa[tail[c]] = i
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not kinds[j]:
-            c = text[j]
-            sa[head[c]] = j
+    head, last, n = (ends - sizes).tolist(), ends.tolist(), len(t)
+    order, chars, within = _grouped(t[lms])
+    placed = np.full(n, -1, np.int64)
+    placed[(ends - np.bincount(chars, minlength=len(sizes)))[chars] + within] = lms[order]
+    # the symbol before each suffix where that is of the class induced, else -1; entry n is for empty places
+    larger, lesser = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
+    larger[1:n] = np.where(is_s[:-1], -1, t[:-1])
+    lesser[1:n] = np.where(is_s[:-1], t[:-1], -1)
+    sa, before = placed.tolist(), larger.tolist()
+    for j in sa:  # sees what it places ahead of itself
+        c = before[j]
+        if c >= 0:
+            sa[head[c]] = j - 1
             head[c] += 1
-    sa[0] = n - 1
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and kinds[j]:
-            c = text[j]
-            last[c] -= 1
-            sa[last[c]] = j
+    sa[0], before = n - 1, lesser.tolist()
+    for j in reversed(sa):
+        c = before[j]
+        if c >= 0:
+            at = last[c] = last[c] - 1
+            sa[at] = j - 1
     return np.array(sa, np.int64)
 
 
+def _refined(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The leftmost-S substrings' starts in order, by sorting their symbols and classes one place at a time.
+
+    No such substring is a proper prefix of another, so equal ones end together.
+    """
+    code = 2 * t + is_s
+    length = np.append(lms[1:], len(t) - 1) - lms
+    order = np.argsort(code[lms], kind="stable")
+    ordered = code[lms[order]]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    step = 1
+    while True:
+        begins = np.flatnonzero(new)
+        sizes = np.diff(np.append(begins, len(new)))
+        group = np.repeat(np.arange(len(begins)), sizes)
+        open_ = np.flatnonzero(np.repeat(sizes > 1, sizes) & (length[order] >= step))
+        if not len(open_):
+            return lms[order]
+        symbols = code[lms[order[open_]] + step]
+        sub = np.lexsort((symbols, group[open_]))
+        order[open_] = order[open_][sub]
+        symbols, owner = symbols[sub], group[open_]
+        new[open_[1:]] |= (symbols[1:] != symbols[:-1]) | (owner[1:] != owner[:-1])
+        step += 1
+
+
 def _names(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """The rank of each leftmost-S substring, equal ones alike, in the order given."""
     after = np.zeros(len(t), np.int64)
@@ -134,8 +160,11 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     lms = np.flatnonzero(is_lms)
     sizes = np.bincount(t, minlength=sigma)
     if len(lms) > 1:
-        first = induced(t, is_s, lms, sizes)
-        ordered = first[is_lms[first]]
+        if sigma <= SMALL_ALPHABET:
+            first = induced(t, is_s, lms, sizes)
+            ordered = first[is_lms[first]]
+        else:
+            ordered = _refined(t, is_s, lms)
         names = _names(t, lms, ordered)
         if names[-1] + 1 < len(lms):
             by_place = np.empty(len(t), np.int64)

@@ -30,6 +30,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,11 +144,11 @@ def unpacked(blob: bytes) -> np.ndarray:
     return out
 
 
-def anchor_rows(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+def anchor_rows(batches: Iterator[pa.RecordBatch], shards: int, doc: int, text: int) -> Iterator[pa.RecordBatch]:
     """(shard, anchors): the anchors of a piece of the documents, dealt to shards by hash."""
-    for batch in slices(batches, 1):
-        ids = batch.column(0).to_numpy()
-        texts, pieces, begin, size = batch.column(1).to_pylist(), [], 0, 0
+    for batch in slices(batches, text):
+        ids = batch.column(doc).to_numpy()
+        texts, pieces, begin, size = raw(batch.column(text)), [], 0, 0
         for i, t in enumerate(texts):  # hashing stays within the processor's cache
             size += len(t)
             if size > 1 << 20 or i + 1 == len(texts):
@@ -167,8 +168,15 @@ def anchor_rows(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.R
         )
 
 
+def raw(texts: pa.Array) -> list[bytes]:
+    """The texts' bytes, none for null."""
+    return texts.cast(pa.binary()).fill_null(b"").to_pylist()
+
+
 def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, at, first, last) of the anchors whose hash two documents have; rows come sorted by shard.
+    """(doc_id, place) of the anchors whose hash two documents have; rows come sorted by shard.
+
+    A place is the anchor's, then how far before it the first string begins and how many follow.
 
     Of the anchors seen so far one row stays for each hash that is shared already, and the rows of one
     document for each that is not, so what is held follows the distinct hashes of a shard.
@@ -188,9 +196,9 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return rows[two_rows & ~is_shared], rows[stays], two_rows[stays]
 
     def out(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(rows[c].copy()) for c in ("doc", "at", "first", "last")], ["doc_id", "at", "first", "last"]
-        )
+        at, first = rows["at"].astype(np.int64), rows["first"].astype(np.int64)
+        places = at << 16 | at - first << 8 | rows["last"] - first
+        return pa.RecordBatch.from_arrays([pa.array(rows["doc"].copy()), pa.array(places)], ["doc_id", "place"])
 
     empty = np.empty(0, ANCHOR)
     now, held, flags, new = None, empty, np.empty(0, bool), []
@@ -215,16 +223,25 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(taken())
 
 
-def fragment_rows(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """(shard, fragments): the strings of a document's shared anchors, cut out and dealt by the anchor's bytes."""
-    for batch in slices(batches, 1):
+def fragment_rows(batches: Iterator[pa.RecordBatch], shards: int, doc: int, text: int) -> Iterator[pa.RecordBatch]:
+    """(shard, fragments): the strings of a document's shared anchors (last column), dealt by the anchor's bytes."""
+    for batch in slices(batches, text):
         parts: dict[int, list] = {}
-        for doc, text, listed in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            for place in listed:
-                fragment = text[place["first"] : place["last"] + LENGTH]
-                near = place["at"] - place["first"]
-                shard = hash_bytes(fragment[near : near + GRAM]) % shards
-                parts.setdefault(shard, []).append((doc, place["first"], near, fragment))
+        listed = batch.column(batch.num_columns - 1)
+        places, ends = listed.values.to_numpy(), listed.offsets.to_numpy()
+        near, more = places >> 8 & 255, places & 255
+        first = ((places >> 16) - near).tolist()
+        near, more = near.tolist(), more.tolist()
+        for own, data, a, b in zip(batch.column(doc).to_pylist(), raw(batch.column(text)), ends, ends[1:]):
+            for i in range(a, b):
+                begin = first[i]
+                fragment = data[begin : begin + more[i] + LENGTH]
+                shard = hash_bytes(fragment[near[i] : near[i] + GRAM]) % shards
+                row = (own, begin, near[i], fragment)
+                if shard in parts:
+                    parts[shard].append(row)
+                else:
+                    parts[shard] = [row]
         blobs = [packed_fragments(rows) for rows in parts.values()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(parts), pa.int64()), pa.array(blobs, pa.binary())], ["shard", "fragments"]
@@ -233,8 +250,6 @@ def fragment_rows(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa
 
 def hash_bytes(data: bytes) -> int:
     """A hash of a few bytes that is the same in every process."""
-    import xxhash
-
     return xxhash.xxh64_intdigest(data) >> 1
 
 
@@ -396,28 +411,30 @@ def covered_rows(batches: Iterator[pa.RecordBatch], crowded: int) -> Iterator[pa
             yield out(*found)
 
 
-def removed(text: bytes, runs: list[dict[str, int]] | None, is_copy: bool) -> tuple[list[dict[str, int]], bytes]:
+def removed(text: bytes, runs: list[int] | None, is_copy: bool) -> tuple[list[dict[str, int]], bytes]:
     """The maximal removed runs of a text and the bytes that stay."""
     if is_copy:
         return ([{"start": 0, "end": len(text)}], b"") if len(text) >= LENGTH else ([], text)
     if not runs:
         return [], text
-    pairs = np.array(sorted((r["start"], r["end"]) for r in runs), np.int64)
-    reach = np.maximum.accumulate(pairs[:, 1])
-    new = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] > reach[:-1]]))
-    starts, ends = pairs[new, 0].tolist(), reach[np.append(new[1:], len(pairs)) - 1].tolist()
+    pairs = np.sort(np.array(runs, np.int64))
+    begins, reach = pairs >> 32, np.maximum.accumulate(pairs & 0xFFFFFFFF)
+    new = np.flatnonzero(np.concatenate([[True], begins[1:] > reach[:-1]]))
+    starts, ends = begins[new].tolist(), reach[np.append(new[1:], len(pairs)) - 1].tolist()
     kept = b"".join(text[a:b] for a, b in zip([0, *ends], [*starts, len(text)]))
     return [{"start": a, "end": b} for a, b in zip(starts, ends)], kept
 
 
-def covered_runs(texts: DataFrame, shards: int, crowded: int = CROWDED) -> DataFrame:
-    """(doc_id, runs) of the documents that lose something; ``texts`` is (doc_id, data), ids not null."""
-    rows = texts.mapInArrow(partial(anchor_rows, shards=shards), "shard long, anchors binary")
+def covered_runs(texts: DataFrame, text: str, shards: int, crowded: int = CROWDED) -> DataFrame:
+    """(__doc, runs) of the documents that lose something; ``texts`` holds __doc, not null, and ``text``."""
+    at = {"shards": shards, "doc": texts.columns.index("__doc"), "text": texts.columns.index(text)}
+    # every column goes through, so that the shuffle of the texts by document is the same everywhere and made once
+    rows = texts.mapInArrow(partial(anchor_rows, **at), "shard long, anchors binary")
     rows = rows.repartition("shard").sortWithinPartitions("shard")
-    places = rows.mapInArrow(shared, "doc_id long, at int, first int, last int")
-    listed = places.groupBy("doc_id").agg(F.collect_list(F.struct("at", "first", "last")).alias("places"))
-    cut = texts.join(listed, "doc_id").select("doc_id", "data", "places")
-    cut = cut.mapInArrow(partial(fragment_rows, shards=shards), "shard long, fragments binary")
+    places = rows.mapInArrow(shared, "__doc long, place long")
+    listed = places.groupBy("__doc").agg(F.collect_list("place").alias("__places"))
+    cut = texts.join(listed, "__doc").select(*texts.columns, "__places")
+    cut = cut.mapInArrow(partial(fragment_rows, **at), "shard long, fragments binary")
     cut = cut.repartition("shard").sortWithinPartitions("shard")
     kind = "doc_id long, start int, end int, string binary"
     found = cut.mapInArrow(partial(covered_rows, crowded=crowded), kind)
@@ -427,7 +444,8 @@ def covered_runs(texts: DataFrame, shards: int, crowded: int = CROWDED) -> DataF
     least = crowd.groupBy("string").agg(F.min("doc_id").alias("least"))
     crowd = crowd.join(least, "string").where("least < doc_id")
     crowd = crowd.select("doc_id", "start", (F.col("start") + LENGTH).alias("end"))
-    return alone.union(crowd).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    runs = F.collect_list(F.shiftleft(F.col("start").cast("long"), 32) + F.col("end"))
+    return alone.union(crowd).groupBy(F.col("doc_id").alias("__doc")).agg(runs.alias("__runs"))
 
 
 def deduplicated(
@@ -437,27 +455,25 @@ def deduplicated(
     own = [T.StructField("n_bytes", T.LongType()), T.StructField("spans", _SPANS), T.StructField("kept", T.BinaryType())]
     names = [c for c in documents.columns if c not in {f.name for f in own}]
     shards = shards or max(1, text_bytes(documents, text) // SHARD_BYTES)
-    given = documents.select(*[F.col(f"`{c}`") for c in names])
-    data = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))
-    known = documents.where(F.col(f"`{doc}`").isNotNull())
-    base = known.select(F.col(f"`{doc}`").cast("long").alias("doc_id"), data.alias("data"))
-    digests = base.select("doc_id", F.sha2("data", 256).alias("digest"))
-    first = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    copies = digests.join(first, "digest").where("doc_id > least").select("doc_id").distinct()
-    runs = covered_runs(base.join(copies, "doc_id", "left_anti"), shards, crowded)
-    verdict = runs.select("doc_id", "runs", F.lit(False).alias("is_copy")).union(
-        copies.select("doc_id", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"), F.lit(True).alias("is_copy"))
+    given = documents.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{doc}`").cast("long").alias("__doc"))
+    base = given.where("__doc IS NOT NULL")
+    digest = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
+    digests = base.select("__doc", digest.alias("digest"))
+    first = digests.groupBy("digest").agg(F.min("__doc").alias("least"), F.max("__doc").alias("most"))
+    copies = digests.join(first.where("least < most"), "digest").where("__doc > least").select("__doc").distinct()
+    runs = covered_runs(base.join(copies, "__doc", "left_anti").select(*given.columns), text, shards, crowded)
+    verdict = runs.withColumn("__copy", F.lit(False)).union(
+        copies.select("__doc", F.lit(None).cast("array<long>"), F.lit(True))
     )
-    joined = given.withColumn("__doc", F.col(f"`{doc}`").cast("long")).withColumn("__data", data)
-    joined = joined.join(verdict.withColumnRenamed("doc_id", "__doc"), "__doc", "left")
-    joined = joined.select(*[F.col(f"`{c}`") for c in names], "__data", "runs", "is_copy")
+    judged = base.join(verdict, "__doc", "left").select(*given.columns, "__runs", "__copy")
+    nameless = given.where("__doc IS NULL").select("*", F.lit(None).cast("array<long>"), F.lit(False))
     schema = T.StructType([documents.schema[c] for c in names] + own)
+    n, at = len(names), names.index(text)
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(schema) - 3
-        for batch in slices(batches, n):
-            data = batch.column(n).to_pylist()
+        for batch in slices(batches, at):
+            data = raw(batch.column(at))
             made = [removed(*row) for row in zip(data, batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -469,7 +485,7 @@ def deduplicated(
                 schema.names,
             )
 
-    return joined.mapInArrow(cut, schema)
+    return judged.union(nameless).mapInArrow(cut, schema)
 
 
 @F.pandas_udf(T.StringType())
