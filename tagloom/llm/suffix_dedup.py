@@ -32,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,7 +173,7 @@ def raw(texts: pa.Array) -> list[bytes]:
     return texts.cast(pa.binary()).fill_null(b"").to_pylist()
 
 
-def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shared(batches: Iterator[pa.RecordBatch], doc: str = "doc_id") -> Iterator[pa.RecordBatch]:
     """(doc_id, place) of the anchors whose hash two documents have; rows come sorted by shard.
 
     A place is the anchor's, then how far before it the first string begins and how many follow.
@@ -198,7 +198,7 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(rows: np.ndarray) -> pa.RecordBatch:
         at, first = rows["at"].astype(np.int64), rows["first"].astype(np.int64)
         places = at << 16 | at - first << 8 | rows["last"] - first
-        return pa.RecordBatch.from_arrays([pa.array(rows["doc"].copy()), pa.array(places)], ["doc_id", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(rows["doc"].copy()), pa.array(places)], [doc, "place"])
 
     empty = np.empty(0, ANCHOR)
     now, held, flags, new = None, empty, np.empty(0, bool), []
@@ -425,48 +425,43 @@ def removed(text: bytes, runs: list[int] | None, is_copy: bool) -> tuple[list[di
     return [{"start": a, "end": b} for a, b in zip(starts, ends)], kept
 
 
-def covered_runs(texts: DataFrame, text: str, shards: int, crowded: int = CROWDED) -> DataFrame:
-    """(__doc, runs) of the documents that lose something; ``texts`` holds __doc, not null, and ``text``."""
-    at = {"shards": shards, "doc": texts.columns.index("__doc"), "text": texts.columns.index(text)}
+def covered_runs(texts: DataFrame, doc: str, text: str, shards: int, crowded: int = CROWDED) -> DataFrame:
+    """(doc, runs) of the documents that lose something; ``doc`` of ``texts`` is a long and not null."""
+    at = {"shards": shards, "doc": texts.columns.index(doc), "text": texts.columns.index(text)}
     # every column goes through, so that the shuffle of the texts by document is the same everywhere and made once
     rows = texts.mapInArrow(partial(anchor_rows, **at), "shard long, anchors binary")
     rows = rows.repartition("shard").sortWithinPartitions("shard")
-    places = rows.mapInArrow(shared, "__doc long, place long")
-    listed = places.groupBy("__doc").agg(F.collect_list("place").alias("__places"))
-    cut = texts.join(listed, "__doc").select(*texts.columns, "__places")
+    places = rows.mapInArrow(partial(shared, doc=doc), f"`{doc}` long, place long")
+    listed = places.groupBy(doc).agg(F.collect_list("place").alias("__places"))
+    cut = texts.join(listed, doc).select(*texts.columns, "__places")
     cut = cut.mapInArrow(partial(fragment_rows, **at), "shard long, fragments binary")
     cut = cut.repartition("shard").sortWithinPartitions("shard")
     kind = "doc_id long, start int, end int, string binary"
     found = cut.mapInArrow(partial(covered_rows, crowded=crowded), kind)
-    # a string of a crowded shard is taken from the document with the least id
-    alone = found.where("end IS NOT NULL").select("doc_id", "start", "end")
-    crowd = found.where("end IS NULL").select("doc_id", "start", "string")
-    least = crowd.groupBy("string").agg(F.min("doc_id").alias("least"))
-    crowd = crowd.join(least, "string").where("least < doc_id")
-    crowd = crowd.select("doc_id", "start", (F.col("start") + LENGTH).alias("end"))
+    # strings of crowded shards meet by themselves; all other rows only pass through, spread by document
+    met = Window.partitionBy(F.coalesce("string", F.col("doc_id").cast("string").cast("binary")), F.col("end").isNull())
+    end = F.when(F.col("end").isNotNull(), F.col("end")).when(F.col("least") < F.col("doc_id"), F.col("start") + LENGTH)
+    found = found.withColumn("least", F.min("doc_id").over(met)).withColumn("end", end).where("end IS NOT NULL")
     runs = F.collect_list(F.shiftleft(F.col("start").cast("long"), 32) + F.col("end"))
-    return alone.union(crowd).groupBy(F.col("doc_id").alias("__doc")).agg(runs.alias("__runs"))
+    return found.groupBy(F.col("doc_id").alias(doc)).agg(runs.alias("__runs"))
 
 
 def deduplicated(
     documents: DataFrame, doc: str = "doc_id", text: str = "text", shards: int | None = None, crowded: int = CROWDED
 ) -> DataFrame:
-    """``documents`` with n_bytes, spans (removed runs, in bytes) and kept (the bytes that stay)."""
+    """``documents`` with n_bytes, spans (removed runs, in bytes) and kept (the bytes that stay); ``doc`` is a long."""
     own = [T.StructField("n_bytes", T.LongType()), T.StructField("spans", _SPANS), T.StructField("kept", T.BinaryType())]
     names = [c for c in documents.columns if c not in {f.name for f in own}]
     shards = shards or max(1, text_bytes(documents, text) // SHARD_BYTES)
-    given = documents.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{doc}`").cast("long").alias("__doc"))
-    base = given.where("__doc IS NOT NULL")
-    digest = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
-    digests = base.select("__doc", digest.alias("digest"))
-    first = digests.groupBy("digest").agg(F.min("__doc").alias("least"), F.max("__doc").alias("most"))
-    copies = digests.join(first.where("least < most"), "digest").where("__doc > least").select("__doc").distinct()
-    runs = covered_runs(base.join(copies, "__doc", "left_anti").select(*given.columns), text, shards, crowded)
-    verdict = runs.withColumn("__copy", F.lit(False)).union(
-        copies.select("__doc", F.lit(None).cast("array<long>"), F.lit(True))
-    )
-    judged = base.join(verdict, "__doc", "left").select(*given.columns, "__runs", "__copy")
-    nameless = given.where("__doc IS NULL").select("*", F.lit(None).cast("array<long>"), F.lit(False))
+    given = documents.select(*[F.col(f"`{c}`") for c in names])
+    base = given.where(F.col(doc).isNotNull())
+    digests = base.select(doc, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest"))
+    first = digests.groupBy("digest").agg(F.min(doc).alias("least"), F.max(doc).alias("most"))
+    copies = digests.join(first.where("least < most"), "digest").where(F.col(doc) > F.col("least")).select(doc).distinct()
+    runs = covered_runs(base.join(copies, doc, "left_anti").select(*names), doc, text, shards, crowded)
+    verdict = runs.withColumn("__copy", F.lit(False)).union(copies.select(doc, F.lit(None).cast("array<long>"), F.lit(True)))
+    judged = base.join(verdict, doc, "left").select(*names, "__runs", "__copy")
+    nameless = given.where(F.col(doc).isNull()).select("*", F.lit(None).cast("array<long>"), F.lit(False))
     schema = T.StructType([documents.schema[c] for c in names] + own)
     n, at = len(names), names.index(text)
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -474,7 +469,7 @@ def deduplicated(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, at):
             data = raw(batch.column(at))
-            made = [removed(*row) for row in zip(data, batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist())]
+            made = [removed(*row) for row in zip(data, batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(i) for i in range(n)],
