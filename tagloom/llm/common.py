@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tagloom.session import scratch_path
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """``run`` over a partition's batches, then what the task freed goes back to the system.
+
+    Python workers outlive their tasks, and several of them share an executor's memory.
+    """
+
+    @wraps(run)
+    def wrapped(*args, **named):
+        yield from run(*args, **named)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return wrapped
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int = -1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of ``column`` in a piece hold about ``most`` bytes (or one text)."""
     for batch in batches:

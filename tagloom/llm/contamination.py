@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.common import slices
+from tagloom.llm.common import lean, slices
 
 WINDOW = 13
 MOST_BYTES = 64 << 20
@@ -125,6 +125,7 @@ def contamination(
         pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])),
     ]
 
+    @lean
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(items, size)
         for batch in slices(batches):

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagloom.llm import linear
-from tagloom.llm.common import slices
+from tagloom.llm.common import lean, slices
 
 LABELLED = 8000
 POOL = 6000
@@ -196,9 +196,11 @@ def apply(documents: DataFrame, model: CoTrained | None) -> DataFrame:
         return given.select("*", *[F.lit(1.0).alias(c) for c in SCORES])
     at = [names.index(c) for c in ("text", "source", "lang", "n_chars")]
 
+    @lean
     def scored(batches: Iterator[pa.RecordBatch], model: CoTrained) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, at[0]):
             made = model.scores(*_views(batch, at))
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c) for c in made.T]], schema.names)
+        _shapes.clear()
 
     return given.mapInArrow(partial(scored, model=model), schema)

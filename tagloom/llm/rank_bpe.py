@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.common import slices
+from tagloom.llm.common import lean, slices
 
 SCAN_PARTS = 100
 CACHED_WORDS = 150_000
@@ -96,6 +96,12 @@ class RankBpe:
         self.first = _Words(self._first)
         self.later = _Words(self._later)
 
+    def forget(self) -> None:
+        """Drop the encoded words kept so far."""
+        for words in (self.piece, self.first, self.later):
+            words.older = {}
+            words.clear()
+
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word of the pre-tokenizer."""
         ids = [self.byte_ids[b] for b in word]
@@ -175,15 +181,17 @@ def load(path: str) -> RankBpe:
     return RankBpe(path)
 
 
-def _replaced(df: DataFrame, source: str, name: str, kind: T.DataType, function) -> DataFrame:
+def _replaced(df: DataFrame, vocabulary: str, source: str, name: str, kind: T.DataType, function) -> DataFrame:
     """``df`` with the column ``name`` (in its place, if there is one) made batch by batch from ``source``."""
     names = [c for c in df.columns if c != name]
     schema = T.StructType([df.schema[c] for c in names] + [T.StructField(name, kind)])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             columns = [batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, function(batch.column(len(names)))], [*names, name])
+        load(vocabulary).forget()
 
     given = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{source}`").alias("__source"))
     return given.mapInArrow(run, schema)
@@ -198,7 +206,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
         ends = np.cumsum([0, *[len(p) // 4 for p in parts]], dtype=np.int64).astype(np.int32)
         return pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(parts), "<i4")))
 
-    return _replaced(df, text, ids, T.ArrayType(T.IntegerType()), encoded)
+    return _replaced(df, vocabulary, text, ids, T.ArrayType(T.IntegerType()), encoded)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -206,6 +214,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
     names = [c for c in df.columns if c != text]
     schema = T.StructType([df.schema[c] for c in names] + [T.StructField(text, T.StringType())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
         for whole in batches:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import saved, slices
+from tagloom.llm.common import lean, saved, slices
 from tagloom.llm.graph import components
 
 WORDS = 4
@@ -66,6 +66,7 @@ def fingerprints(df: DataFrame, doc: str = "doc_id", text: str = "text") -> Data
     """doc_id and fp (signed 64 bits) of every row."""
     given = df.select(F.col(f"`{doc}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
+    @lean
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             made = pa.array([fingerprint(t) for t in batch.column(1).to_pylist()], pa.int64())

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.common import slices, text_bytes
+from tagloom.llm.common import lean, slices, text_bytes
 from tagloom.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH = 50
@@ -144,6 +144,7 @@ def unpacked(blob: bytes) -> np.ndarray:
     return out
 
 
+@lean
 def anchor_rows(batches: Iterator[pa.RecordBatch], shards: int, doc: int, text: int) -> Iterator[pa.RecordBatch]:
     """(shard, anchors): the anchors of a piece of the documents, dealt to shards by hash."""
     for batch in slices(batches, text):
@@ -173,6 +174,7 @@ def raw(texts: pa.Array) -> list[bytes]:
     return texts.cast(pa.binary()).fill_null(b"").to_pylist()
 
 
+@lean
 def shared(batches: Iterator[pa.RecordBatch], doc: str = "doc_id") -> Iterator[pa.RecordBatch]:
     """(doc_id, place) of the anchors whose hash two documents have; rows come sorted by shard.
 
@@ -223,6 +225,7 @@ def shared(batches: Iterator[pa.RecordBatch], doc: str = "doc_id") -> Iterator[p
         yield out(taken())
 
 
+@lean
 def fragment_rows(batches: Iterator[pa.RecordBatch], shards: int, doc: int, text: int) -> Iterator[pa.RecordBatch]:
     """(shard, fragments): the strings of a document's shared anchors (last column), dealt by the anchor's bytes."""
     for batch in slices(batches, text):
@@ -362,6 +365,7 @@ class _Shard:
             yield docs[row[a]], firsts[row[a]] + inside[a], firsts[row[a]] + inside[b] + LENGTH
 
 
+@lean
 def covered_rows(batches: Iterator[pa.RecordBatch], crowded: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, start, end, string): covered runs; of crowded shards each string itself, with end null."""
 
@@ -466,6 +470,7 @@ def deduplicated(
     n, at = len(names), names.index(text)
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, at):
             data = raw(batch.column(at))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import opened, saved, slices
+from tagloom.llm.common import lean, opened, saved, slices
 from tagloom.session import scratch_path
 
 CACHED_WORDS = 200_000
@@ -52,6 +52,10 @@ class WordEncoder:
         self.words: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drop the encoded words kept so far."""
+        self.words, self.older = {"": b""}, {}
+
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """The packed ids of each text with the end id behind them."""
         kind = np.dtype(f"<u{self.width}")
@@ -78,6 +82,7 @@ def _encoder(path: str) -> WordEncoder:
 def write(df: DataFrame, vocabulary: str, folder: str, end: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the shards of ``df`` below ``folder`` in ascending document order; returns their manifest."""
 
+    @lean
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, (files, root) = _encoder(vocabulary), opened(folder)
         number = TaskContext.get().partitionId()
@@ -98,6 +103,7 @@ def write(df: DataFrame, vocabulary: str, folder: str, end: int, doc: str = "doc
         for kind, values in (("off", offsets), ("doc", np.array(docs, "<i8"))):
             with files.open_output_stream(f"{root}/{name}.{kind}") as file:
                 file.write(values.tobytes())
+        encoder.forget()
         row = [[number], [name], [len(docs)], [int(offsets[-1])], [encoder.width]]
         kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
         yield pa.RecordBatch.from_arrays(

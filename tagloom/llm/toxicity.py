@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagloom.llm import linear
-from tagloom.llm.common import slices
+from tagloom.llm.common import lean, slices
 
 LABELLED = 8000
 FEATURES = 768
@@ -135,6 +135,7 @@ def score(documents: DataFrame, labels: DataFrame, categories: list[str]) -> Dat
     schema = T.StructType([documents.schema[c] for c in names] + [T.StructField(c, T.DoubleType()) for c in own])
     at = names.index("text")
 
+    @lean
     def scored(batches: Iterator[pa.RecordBatch], model: Chain) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple] = {}
         for batch in slices(batches, at):
