@@ -163,21 +163,25 @@ def write_version(jobs: DataFrame, root: str, version: str) -> str:
     return path
 
 
-def latest_version(spark: SparkSession, root: str, before: str | None = None) -> str | None:
-    """Name of the newest complete version, older than ``before`` if that is given."""
+def versions(spark: SparkSession, root: str) -> list[str]:
+    """Names of the complete versions, in order."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(root)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(folder):
-        return None
+        return []
     names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    versions = [
+    return sorted(
         name.removeprefix("version=")
         for name in names
         if name.startswith("version=")
         and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/_SUCCESS"))
-    ]
-    return max((v for v in versions if before is None or v < before), default=None)
+    )
+
+
+def latest_version(spark: SparkSession, root: str, before: str | None = None) -> str | None:
+    """Name of the newest complete version, older than ``before`` if that is given."""
+    return max((v for v in versions(spark, root) if before is None or v < before), default=None)
 
 
 def read_version(spark: SparkSession, root: str, version: str | None) -> DataFrame:

@@ -8,16 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.operators.ranking import number_rows
-
 VIEW_COLUMNS = [
     "id", "source", "company", "title", "department", "location", "source_url", "is_remote",
     "seniority", "tech_stack", "employment_type", "posted_at", "first_seen_at", "fetched_at",
 ]
 
-# Pages up to this row are read with a plain sort and limit.
-SHALLOW_ROWS = 10_000
-
 
 def merged_tags(rule_tags: Column, model_tags: Column) -> Column:
     """Distinct tags of both origins, sorted."""
@@ -89,20 +84,28 @@ def page(
 ) -> DataFrame:
     """One page in time order, newest first by default; ties by id.
 
-    Early pages are a sort with a limit. A page far down would drag all rows before it
-    through one place; there only the sort columns are numbered, across partitions, and
-    the few rows of the page are looked up.
+    Rows are counted by day, and only the days that hold the page are numbered, each by
+    itself, so the rows before the page are never sorted and any page is found alike.
     """
-    number = max(1, number)
-    skip = (number - 1) * size
-    order = [F.col(by).asc() if ascending else F.col(by).desc(), F.col(tie).asc()]
-    if skip + size <= SHALLOW_ROWS:
-        return rows.orderBy(*order).offset(skip).limit(size)
-    position = F.col("__position")
-    numbered = number_rows(rows.select(by, tie), order, "__position")
-    wanted = numbered.where((position > skip) & (position <= skip + size)).select(tie)
-    # at most ``size`` rows
-    return rows.join(F.broadcast(wanted), tie, "left_semi").orderBy(*order)
+    skip = (max(1, number) - 1) * size
+    time, day = F.col(by), F.col("__day")
+    order = [time.asc() if ascending else time.desc(), F.col(tie).asc()]
+    dated = rows.withColumn("__day", F.date_trunc("day", time))
+    earlier = Window.orderBy(day.asc() if ascending else day.desc()).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    counts = dated.groupBy("__day").agg(F.count("*").alias("__n"))
+    # one row per day
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    held = counts.where(
+        (F.col("__before") < skip + size) & (F.col("__before") + F.col("__n") > skip)
+    ).select(day.alias("__held"), "__before")
+    near = dated.join(held, day.eqNullSafe(F.col("__held")))
+    within = F.row_number().over(Window.partitionBy("__day").orderBy(*order))
+    position = F.col("__before") + F.col("__within")
+    numbered = near.withColumn("__within", within)
+    found = numbered.where((position > skip) & (position <= skip + size))
+    return found.select(*rows.columns).orderBy(*order)
 
 
 def _like_literal(text: str) -> str:

@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tagloom.operators.merge import latest_version, merge_snapshot, read_version, write_version
+from tagloom.operators.merge import (
+    latest_version,
+    merge_snapshot,
+    read_version,
+    versions,
+    write_version,
+)
 from tagloom.plans.postings import in_region, read_postings
 from tagloom.session import cut_lineage
 from tagloom.sources.landed import read_landed
@@ -18,13 +24,14 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content b
 
 
 def apply_run(
-    spark: SparkSession, incoming: DataFrame, target: str, version: str, run_id: str
+    spark: SparkSession, incoming: DataFrame, target: str, run_id: str, batch_id: int
 ) -> str:
-    """Merge the in-region rows of one run into the newest table version before ``version``."""
-    current = read_version(spark, target, latest_version(spark, target, before=version))
+    """Merge the in-region rows of one run into the newest version of an earlier run."""
+    # a version's name begins with its run, so every version of this run sorts behind the bare id
+    current = read_version(spark, target, latest_version(spark, target, before=run_id))
     as_of = F.to_timestamp(F.lit(run_id), RUN_FORMAT)
     merged = merge_snapshot(current, incoming, as_of)
-    return write_version(merged.drop("change_type"), target, version)
+    return write_version(merged.drop("change_type"), target, f"{run_id}-{batch_id:010d}")
 
 
 def ingest_landed(
@@ -35,20 +42,24 @@ def ingest_landed(
     The stream only watches which runs got new files; it does not open them. Each such run
     is read whole from its folder, with the readers of one source opening only its files,
     so a file that lands late cannot make the rest of its run look gone. Runs are merged
-    in the order of their ids, because a soft delete needs one company list at a time. A
-    version is named by batch and run, so a batch that is repeated after a failure writes
-    the same versions again from the same predecessor.
+    in the order of their ids, because a soft delete needs one company list at a time. When
+    files land for a run that later runs were already merged over, the later runs are merged
+    again, in order, from the version before the late run; the result is that of ordered
+    landing. A version is named by run and batch, so a batch that is repeated after a
+    failure writes the same versions again from the same predecessors.
     """
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
         # one small row per landed run
-        runs = sorted(r.run_id for r in batch.distinct().collect())
+        landed = {r.run_id for r in batch.distinct().collect()}
+        applied = {v.rsplit("-", 1)[0] for v in versions(spark, target)}
+        runs = sorted(landed | {r for r in applied if landed and r > min(landed)})
         payloads = read_landed(spark, landing).where(F.col("run_id").isin(runs))
         # the rules run once for all runs of the batch; the merges read their result
         rows = cut_lineage(in_region(read_postings(payloads, companies, carry=["run_id"])))
         for run_id in runs:
             incoming = rows.where(F.col("run_id") == run_id).drop("run_id")
-            apply_run(spark, incoming, target, f"{batch_id:010d}-{run_id}", run_id)
+            apply_run(spark, incoming, target, run_id, batch_id)
 
     files = (
         spark.readStream.format("binaryFile")

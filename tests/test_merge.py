@@ -128,8 +128,8 @@ def test_apply_enrichment(spark):
     assert tuple(out[1]) == ("2", "u", ["y"], OLD, "old")
 
 
-def land(folder, run_id, rows):
-    for i, (source, kind, slug, url, payload) in enumerate(rows):
+def land(folder, run_id, rows, first=0):
+    for i, (source, kind, slug, url, payload) in enumerate(rows, first):
         path = folder / f"run_id={run_id}" / f"source={source}" / f"kind={kind}"
         path.mkdir(parents=True, exist_ok=True)
         line = {"company_slug": slug, "detail_url": url, "payload": payload}
@@ -163,7 +163,7 @@ def test_incremental_runs(spark, tmp_path):
         return latest, {r.external_id: r for r in rows}
 
     version, rows = run()
-    assert version.endswith("20260502T060000")
+    assert version.startswith("20260502T060000")
     active = {k: r.is_active for k, r in rows.items()}
     # the other company sent nothing in the second run and keeps its row
     assert active == {"1": False, "2": True, "3": True, "lev-1": True}
@@ -177,3 +177,21 @@ def test_incremental_runs(spark, tmp_path):
         "1": True, "2": False, "3": False, "lev-1": True,
     }
     assert rows["1"].first_seen_at == datetime(2026, 5, 1, 6)
+
+
+def test_a_late_file_gives_what_ordered_landing_gives(spark, tmp_path):
+    first, second, third = "20260501T060000", "20260502T060000", "20260503T060000"
+
+    def state_after(name, landings):
+        folder, target, state = tmp_path / name, str(tmp_path / f"{name}-jobs"), str(tmp_path / f"{name}-state")
+        for group in landings:
+            for number, (run_id, rows) in group:
+                land(folder, run_id, rows, number)
+            ingest_landed(spark, str(folder), companies(spark), target, state).awaitTermination()
+        rows = merge.read_version(spark, target, merge.latest_version(spark, target)).collect()
+        return sorted((r.external_id, r.is_active, r.first_seen_at, r.last_seen_at) for r in rows)
+
+    one, two, late, last = (0, (first, [board(1, 2)])), (0, (second, [board(2, 3)])), (9, (first, [board(9)])), (0, (third, [board(3)]))
+    ordered = state_after("ordered", [[one, late], [two], [last]])
+    assert state_after("late", [[one], [two], [late], [last]]) == ordered
+    assert [r[:2] for r in ordered] == [("1", False), ("2", False), ("3", True), ("9", False)]

@@ -79,14 +79,25 @@ def test_filters(view, filters, expected):
     assert serving.total_count(found).first().total == len(expected)
 
 
-def test_pages(spark, view, monkeypatch):
+def test_pages(view):
     def page(number, **more):
         return [r.id for r in serving.page(view, number, 3, **more).collect()]
 
-    plain = [page(1), page(2), page(-4), page(1, ascending=True), page(9)]
-    assert plain == [["a", "b", "c"], ["d"], ["a", "b", "c"], ["d", "c", "b"], []]
-    monkeypatch.setattr(serving, "SHALLOW_ROWS", 0)
-    assert [page(1), page(2), page(-4), page(1, ascending=True), page(9)] == plain
+    assert [page(1), page(2), page(-4), page(1, ascending=True), page(9)] == [
+        ["a", "b", "c"], ["d"], ["a", "b", "c"], ["d", "c", "b"], [],
+    ]
+
+
+@pytest.mark.parametrize("ascending", [False, True])
+def test_pages_at_every_depth_equal_a_plain_sort(spark, ascending):
+    rows = [(f"i{n % 7}" if n % 11 else None, NOW - timedelta(hours=n // 3 * 5)) for n in range(60)]
+    rows += [("n1", None), ("n2", None), ("n1", None)]
+    table = spark.createDataFrame(rows, "id string, first_seen_at timestamp")
+    time = F.col("first_seen_at").asc() if ascending else F.col("first_seen_at").desc()
+    plain = [tuple(r) for r in table.orderBy(time, F.col("id").asc()).collect()]
+    for number in range(1, 15):
+        found = serving.page(table, number, 5, ascending=ascending).collect()
+        assert [tuple(r) for r in found] == plain[number * 5 - 5 : number * 5]
 
 
 def test_search(spark):
