@@ -11,13 +11,15 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
 import check_oracles
 
 import __spark_entry__ as entry_module
+from tagloom.plans.registry import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not Path(SF_DIR).is_dir(), reason="tables are not here")
 
 
 def test_every_query_has_a_statement():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLES) <= set(entry_module.oracle_sql())
 
 
 @needs_tables
@@ -32,7 +34,7 @@ def db():
 
 
 @needs_tables
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
     run, sql = entry_module.queries()[name], entry_module.oracle_sql()[name]
     assert check_oracles.compare(spark, db, SF_DIR, name, run, sql) is None
