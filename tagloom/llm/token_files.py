@@ -14,8 +14,11 @@ shard; other columns are left out.
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +33,9 @@ from tagloom.session import scratch_path
 
 CACHED_WORDS = 200_000
 CACHED_CHARS = 48
+# printable ASCII and the letters of Latin-1: composed already, and lowered alike everywhere
+PLAIN = "[!-~À-ÖØ-öø-ÿ]"
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 NO_DOCUMENT = -(1 << 63)
 MANIFEST = "shard int, name string, documents long, tokens long, width int"
 
@@ -38,38 +44,77 @@ class WordEncoder:
     """A tokenizer of the tokenizers library whose model never looks across a blank.
 
     Texts are cut at blanks and line ends, which that kind of tokenizer drops, and each distinct
-    word is encoded by the library once while it stays in the bounded cache.
+    word is encoded by the library once while it stays in the bounded cache. Plain words are lowered
+    and cut into the tokenizer's pieces first, because far fewer pieces than words are distinct; the
+    pieces go through the library's model without its normaliser. All other words, and those that
+    may hold a special token, go through the whole tokenizer. A tokenizer whose normaliser or
+    pieces are not of this kind uses the whole one throughout.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.tokenizer, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for one in (self.tokenizer, self.model):
+            one.no_truncation()
+            one.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.words: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        self.code = "H" if self.width == 2 else "I"
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        special = "".join(f"(?!{re.escape(t.content)})" for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.plain = re.compile(f"(?:{special}{PLAIN})+").fullmatch
+        self.by_pieces = self._cuts_alike()
+        self.forget()
+
+    def _cuts_alike(self) -> bool:
+        """Whether the tokenizer cuts a text of all plain characters into the same pieces."""
+        text = "".join(map(chr, [*range(33, 127), *range(192, 256)])).replace("×", "").replace("÷", "")
+        text = f"{text}don't'S''sA'REb've'Mc'll'd12é3É--a..1"
+        if self.tokenizer.normalizer is None or self.tokenizer.pre_tokenizer is None:
+            return False
+        if self.tokenizer.normalizer.normalize_str(text) != text.lower():
+            return False
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(text.lower())
+        return [text.lower()[a:b] for _, (a, b) in cut] == PIECES.findall(text.lower())
 
     def forget(self) -> None:
         """Drop the encoded words kept so far."""
         self.words, self.older = {"": b""}, {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _ids(self, tokenizer, texts: list[str]) -> list[bytes]:
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array(self.code, e.ids).tobytes() for e in found]
+
+    def _encoded(self, new: set[str]) -> dict[str, bytes]:
+        """The packed ids of words without blanks."""
+        words = list(filter(self.plain, new)) if self.by_pieces else []
+        cut = [PIECES.findall(w.lower()) for w in words]
+        if len(self.pieces) > CACHED_WORDS:
+            self.pieces = {}
+        unseen = list(set().union(*cut) - self.pieces.keys())
+        self.pieces.update(zip(unseen, self._ids(self.model, unseen)))
+        found = dict(zip(words, [b"".join(map(self.pieces.__getitem__, parts)) for parts in cut]))
+        for piece in unseen:
+            if len(piece) > CACHED_CHARS:
+                del self.pieces[piece]
+        whole = list(new - found.keys())
+        found.update(zip(whole, self._ids(self.tokenizer, whole)))
+        return found
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """The packed ids of each text with the end id behind them."""
-        kind = np.dtype(f"<u{self.width}")
         cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         if len(self.words) > CACHED_WORDS:
             self.older, self.words = self.words, {"": b""}
         new = set().union(*cut) - self.words.keys()
         known = {w: self.older[w] for w in new & self.older.keys()}
-        new = list(new - known.keys())
-        made = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        known |= {w: np.array(e.ids, kind).tobytes() for w, e in zip(new, made)}
-        self.words |= {w: ids for w, ids in known.items() if len(w) <= CACHED_CHARS}
-        long = {w: ids for w, ids in known.items() if len(w) > CACHED_CHARS}
-        last = np.array([end], kind).tobytes()
+        known.update(self._encoded(new - known.keys()))
+        long = {w: known.pop(w) for w in new if len(w) > CACHED_CHARS}
+        self.words.update(known)
+        last = array(self.code, [end]).tobytes()
         words = self.words if not long else {**self.words, **long}
         return [b"".join(map(words.__getitem__, c)) + last for c in cut]
 
@@ -92,7 +137,9 @@ def write(df: DataFrame, vocabulary: str, folder: str, end: int, doc: str = "doc
             if out is None:
                 files.create_dir(root, recursive=True)
                 out = files.open_output_stream(f"{root}/{name}.ids")
+            gc.disable()  # a slice makes many small lists and no cycles
             ids = encoder.encode(batch.column(1).to_pylist(), end)
+            gc.enable()
             out.write(b"".join(ids))
             lengths += [len(x) // encoder.width for x in ids]
             docs += batch.column(0).fill_null(NO_DOCUMENT).to_pylist()

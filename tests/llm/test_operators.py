@@ -109,6 +109,18 @@ def test_token_files(spark, docs, none, rows):
     assert token_files.round_trip(spark, none, WORD_BPE, 2).count() == 0
 
 
+def test_words_by_pieces_equal_the_library():
+    library, own, rng = Tokenizer.from_file(WORD_BPE), token_files.WordEncoder(WORD_BPE), random.Random(8)
+    assert own.by_pieces
+    marks = [*" \n\t\r'.,-<|>!aAsSdDtTlLmMrReEvVéÉßØ×÷²ªµ9٣中\u0301İΣﬁ\x1c\x85\u00a0😀", "<|endoftext|>", "'ll", "'RE"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 30))) for _ in range(4000)] + [None, "q" * 200]
+    for begin in range(0, len(texts), 500):
+        some = texts[begin : begin + 500]
+        want = [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in some]
+        assert [np.frombuffer(x, "<u2").tolist() for x in own.encode(some, 2)] == want
+    assert not token_files.WordEncoder(BYTE_BPE).by_pieces
+
+
 def test_contamination(spark, docs, none, rows):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
