@@ -30,7 +30,9 @@ def iso_timestamp(value: Column) -> Column:
 
 
 def epoch_ms(value: Column) -> Column:
-    return F.timestamp_millis(value.try_cast("decimal(20,3)").try_cast("bigint"))
+    """Whole milliseconds since 1970; text with a fraction or an exponent is null."""
+    whole = F.rlike(value, F.lit(r"^\s*[+-]?[0-9]+\s*$"))
+    return F.timestamp_millis(F.when(whole, value.try_cast("bigint")))
 
 
 def plain_date(value: Column) -> Column:

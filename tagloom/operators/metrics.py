@@ -47,6 +47,79 @@ def kpis(view: DataFrame, as_of: Column, stale_hours: int = 36) -> DataFrame:
     )
 
 
+def relative_time(earlier: Column, later: Column) -> Column:
+    """Age as text: minutes under an hour, hours under a day, else days, all rounded down."""
+    millis = F.unix_millis(later.cast("timestamp")) - F.unix_millis(earlier.cast("timestamp"))
+
+    def ago(number: Column, unit: str) -> Column:
+        plural = F.when(F.abs(number) == 1, F.lit(unit)).otherwise(F.lit(f"{unit}s"))
+        past = F.concat(number.cast("string"), F.lit(" "), plural, F.lit(" ago"))
+        future = F.concat(F.lit("in "), (-number).cast("string"), F.lit(" "), plural)
+        return F.when(number < 0, future).otherwise(past)
+
+    minutes, hours, days = (F.floor(millis / F.lit(n)) for n in (60_000, 3_600_000, 86_400_000))
+    return (
+        F.when(minutes == 0, F.lit("this minute"))
+        .when(minutes < 60, ago(minutes, "minute"))
+        .when(hours < 24, ago(hours, "hour"))
+        .when(days == 1, F.lit("yesterday"))
+        .otherwise(ago(days, "day"))
+    )
+
+
+def kpi_record(view: DataFrame, as_of: Column, stale_hours: int = 36) -> DataFrame:
+    """Headline figures, facet counts and option lists as one row, from one scan.
+
+    Each row of the view is counted under every value it has, with a map-side count, so what is
+    shuffled is a row for each distinct company, tag and facet value of a partition. The maps and
+    lists hold facet values and tags, which the dictionaries bound; companies are only counted.
+    """
+
+    def entry(group: str, value: Column) -> Column:
+        return F.struct(F.lit(group).alias("group"), value.cast("string").alias("value"))
+
+    one = F.lit("")
+    is_new = F.col("first_seen_at") >= as_of - F.expr("INTERVAL 24 HOURS")
+    fixed = F.array(
+        entry("rows", one),
+        entry("new", F.when(is_new, one)),
+        entry("remote", F.when(F.coalesce(F.col("is_remote"), F.lit(True)), one)),
+        entry("company", F.col("company")),
+        *[entry(name, value) for name, value in standard_facets().items()],
+    )
+    tags = F.transform(
+        F.coalesce("tech_stack", F.array().cast("array<string>")),
+        lambda t: entry("tag", F.nullif(t, F.lit(""))),
+    )
+    counted = (
+        view.select("fetched_at", F.inline(F.concat(fixed, tags)))
+        .where("value IS NOT NULL")
+        .groupBy("group", "value")
+        .agg(F.count("*").alias("count"), F.max("fetched_at").alias("latest"))
+    )
+
+    def total(group: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("group") == group, F.col("count"))), F.lit(0))
+
+    def listed(group: str, value: Column) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("group") == group, value)))
+
+    pair = F.struct("value", "count")
+    latest = F.max("latest")
+    return counted.agg(
+        total("rows").alias("active_roles"),
+        total("new").alias("new_today"),
+        F.count_if(F.col("group") == "company").alias("company_count"),
+        percent(total("remote"), total("rows")).alias("remote_percent"),
+        *[F.map_from_entries(listed(g, pair)).alias(f"{g}_counts") for g in standard_facets()],
+        listed("source", F.col("value")).alias("source_options"),
+        listed("tag", F.col("value")).alias("tech_options"),
+        latest.alias("last_updated"),
+        relative_time(latest, as_of).alias("updated_text"),
+        F.coalesce(hours_between(latest, as_of) >= stale_hours, F.lit(False)).alias("stale"),
+    )
+
+
 def workplace_key(flag: Column) -> Column:
     """``true`` / ``false`` / ``null`` as text."""
     return F.coalesce(flag.cast("string"), F.lit("null"))

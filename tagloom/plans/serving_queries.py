@@ -147,6 +147,49 @@ def kpi_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# after the last shipment, so that the age of the data is a past one
+RECORD_AT = "2002-01-31 12:00:00"
+
+
+@query(f"""
+WITH {VIEW_SQL},
+s AS (SELECT source AS v, count(*) AS n FROM view WHERE source IS NOT NULL GROUP BY 1),
+l AS (SELECT seniority AS v, count(*) AS n FROM view WHERE seniority IS NOT NULL GROUP BY 1),
+w AS (SELECT coalesce(CAST(is_remote AS VARCHAR), 'null') AS v, count(*) AS n FROM view GROUP BY 1),
+t AS (SELECT DISTINCT unnest(tech_stack) AS v FROM view),
+m AS (SELECT max(fetched_at) AS latest FROM view)
+SELECT (SELECT count(*) FROM view) AS active_roles,
+       (SELECT count(*) FROM view WHERE first_seen_at >= TIMESTAMP '{RECORD_AT}' - INTERVAL 24 HOURS)
+         AS new_today,
+       (SELECT count(DISTINCT company) FROM view) AS company_count,
+       (SELECT CAST(round(100.0 * count(*) FILTER (is_remote IS NOT FALSE) / count(*), 1) AS DOUBLE)
+        FROM view) AS remote_percent,
+       (SELECT string_agg(v || '=' || n, ',' ORDER BY v) FROM s) AS source_counts,
+       (SELECT string_agg(v || '=' || n, ',' ORDER BY v) FROM l) AS seniority_counts,
+       (SELECT string_agg(v || '=' || n, ',' ORDER BY v) FROM w) AS workplace_counts,
+       (SELECT string_agg(v, ',' ORDER BY v) FROM s) AS source_options,
+       (SELECT string_agg(v, ',' ORDER BY v) FROM t WHERE v <> '') AS tech_options,
+       strftime(latest, '%Y-%m-%d %H:%M:%S') AS last_updated,
+       CAST(floor(epoch(TIMESTAMP '{RECORD_AT}' - latest) / 86400) AS BIGINT) || ' days ago' AS updated_text,
+       epoch(TIMESTAMP '{RECORD_AT}' - latest) >= 36 * 3600 AS stale
+FROM m""")
+def kpi_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = metrics.kpi_record(view(spark, sf_dir), as_of(RECORD_AT), presets.STALE_AFTER_HOURS)
+
+    def pairs(counts: str) -> F.Column:
+        listed = F.transform(F.map_entries(counts), lambda e: F.concat_ws("=", e["key"], e["value"]))
+        return F.array_join(listed, ",")
+
+    return one.withColumns(
+        {
+            **{c: pairs(c) for c in ("source_counts", "seniority_counts", "workplace_counts")},
+            **{c: text_of(c) for c in ("source_options", "tech_options")},
+            "last_updated": time_text("last_updated"),
+            "remote_percent": F.col("remote_percent").cast("double"),
+        }
+    )
+
+
 @query(f"""
 WITH {VIEW_SQL}
 SELECT 'source' AS facet, source AS value, count(*) AS count FROM view
@@ -349,3 +392,11 @@ def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagloom.operators.keys import duplicate_keys
 
     return duplicate_keys(jobs(spark, sf_dir), ["id"])
+
+
+@query(f"""WITH {JOBS_SQL}
+SELECT company, source, count(*) AS n FROM jobs GROUP BY ALL HAVING count(*) > 1""")
+def repeated_company_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagloom.operators.keys import duplicate_keys
+
+    return duplicate_keys(jobs(spark, sf_dir), ["company", "source"])

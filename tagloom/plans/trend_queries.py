@@ -194,6 +194,14 @@ def board_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.withColumn("saved_at", time_text("saved_at"))
 
 
+@query(f"""WITH {_STATE_SQL}
+SELECT user_id, job_id, col AS "column", strftime(saved_at, '%Y-%m-%d %H:%M:%S') AS saved_at
+FROM state ORDER BY state.saved_at DESC, user_id, job_id""")
+def board_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = board.board_list(board.board_state(_actions(spark, sf_dir)), ["user_id", "job_id"])
+    return listed.withColumn("saved_at", time_text("saved_at"))
+
+
 @query(f"""WITH {_STATE_SQL}, c(position, name) AS (
   VALUES (0, 'watching'), (1, 'applied'), (2, 'interviewing'), (3, 'archived'))
 SELECT position, name AS "column", (SELECT count(*) FROM state WHERE col = name) AS count FROM c""")

@@ -116,6 +116,37 @@ def test_search(spark):
     assert found("co-lever")[0] == "pct" or len(found("co-lever")) == 10
 
 
+def test_kpi_record_agrees_with_the_single_figures(spark, view):
+    at = ts("2026-05-10 12:00:00")
+    row, plain = metrics.kpi_record(view, at).first(), metrics.kpis(view, at).first()
+    for name in plain.asDict():
+        assert row[name] == plain[name]
+    facets = metrics.facet_counts(view, metrics.standard_facets()).collect()
+    for name in metrics.standard_facets():
+        assert row[f"{name}_counts"] == {r.value: r["count"] for r in facets if r.facet == name}
+    assert row.source_options == sorted(r.source for r in metrics.source_options(view).collect())
+    assert row.tech_options == sorted(r.tag for r in metrics.tag_options(view).collect())
+    empty = metrics.kpi_record(view.limit(0), at).first()
+    assert (empty.active_roles, empty.company_count, empty.tech_options, empty.source_counts) == (0, 0, [], {})
+    assert empty.updated_text is None and empty.stale is False
+
+
+def test_relative_time(spark):
+    later = ts("2026-05-10 12:00:00")
+    wanted = {
+        "2026-05-10 11:59:30": "this minute",
+        "2026-05-10 11:59:00": "1 minute ago",
+        "2026-05-10 11:00:01": "59 minutes ago",
+        "2026-05-10 11:00:00": "1 hour ago",
+        "2026-05-09 12:00:01": "23 hours ago",
+        "2026-05-09 12:00:00": "yesterday",
+        "2026-05-08 11:00:00": "2 days ago",
+        "2026-05-10 12:01:30": "in 2 minutes",
+    }
+    texts = spark.range(1).select(*[metrics.relative_time(ts(t), later) for t in wanted]).first()
+    assert list(texts) == list(wanted.values())
+
+
 def test_kpis(spark, view):
     row = metrics.kpis(view, ts("2026-05-10 12:00:00")).first()
     assert (row.active_roles, row.new_today, row.company_count) == (4, 2, 2)

@@ -135,8 +135,8 @@ def test_dates(spark):
 
 def test_coercions(spark):
     v = F.col("v")
-    assert _times(spark, coerce.coerce(v, "unix_ms"), ["1700000000123", "x", None]) == [
-        datetime(2023, 11, 14, 22, 13, 20, 123000), None, None,
+    assert _times(spark, coerce.coerce(v, "unix_ms"), ["1700000000123", "x", None, "1700000000123.5"]) == [
+        datetime(2023, 11, 14, 22, 13, 20, 123000), None, None, None,
     ]
     assert _times(spark, coerce.coerce(v, "date"), [" 2026-05-04 ", "2026-5-4", "05/04/2026"]) == [
         datetime(2026, 5, 4), datetime(2026, 5, 4), None,
