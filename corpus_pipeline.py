@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm import contamination, quality, rank_bpe, simhash_ball, suffix_dedup
+from tagloom.llm import contamination, quality, rank_bpe, similar_texts, suffix_dedup
 from tagloom.llm.common import saved, table
 from tagloom.llm.queries import BYTE_BPE
 
@@ -19,11 +19,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, that with the least id; null ids stay.
+    """One document of each component of similar texts, that with the least id; null ids stay.
 
+    Similar are texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
     Of rows that repeat an id, the one whose text is least in order stays.
     """
-    found = simhash_ball.near_duplicates(docs)
+    found = similar_texts.similar(docs)
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     # rows without an id are all kept, and are spread by their text
