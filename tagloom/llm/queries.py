@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bm25, contamination, quality, rank_bpe, simhash_ball, suffix_dedup, token_files, toxicity, transcripts, warc
+from tagloom.llm import (
+    bm25,
+    contamination,
+    conversation_trie,
+    hard_negatives,
+    quality,
+    quartile_digest,
+    rank_bpe,
+    simhash_ball,
+    suffix_dedup,
+    token_files,
+    toxicity,
+    transcripts,
+    warc,
+)
 from tagloom.llm.common import table
 from tagloom.session import scratch_path
 
@@ -168,3 +182,151 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         contamination.contaminated().alias("contaminated"),
     )
+
+
+@query
+def op11_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's digest against that of its edited text and that of the next document."""
+    return quartile_digest.edited(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_quartile_digest"] = r"""
+WITH given AS (
+    SELECT doc_id, coalesce(text, '') AS text, lead(doc_id) OVER (ORDER BY doc_id) AS next_id,
+        coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS next
+    FROM documents),
+docs AS (
+    SELECT doc_id, coalesce(next_id, min(doc_id) OVER ()) AS next_id, text,
+        left(text, length(text) - length(text) // 4) || left(next, length(text) // 4) AS edited
+    FROM given),
+texts AS (
+    SELECT doc_id, 0 AS kind, text FROM docs UNION ALL SELECT doc_id, 1, edited FROM docs),
+listed AS (
+    SELECT doc_id, kind, strlen(text) AS n,
+        list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS b
+    FROM texts),
+hashed AS (
+    SELECT doc_id, kind, unnest(list_transform(range(1, n - 1), lambda i:
+        (b[i] * 65536 + b[i + 1] * 256 + b[i + 2]) * 2654435761 % 4294967296 // 16777216)) AS bucket
+    FROM listed),
+counted AS (SELECT doc_id, kind, bucket, count(*) AS c FROM hashed GROUP BY ALL),
+filled AS (
+    SELECT l.doc_id, l.kind, k.bucket, coalesce(c, 0) AS c
+    FROM (SELECT doc_id, kind FROM listed) l, (SELECT unnest(range(256)) AS bucket) k
+        LEFT JOIN counted x ON x.doc_id = l.doc_id AND x.kind = l.kind AND x.bucket = k.bucket),
+sorted AS (SELECT doc_id, kind, list_sort(list(c)) AS s FROM filled GROUP BY ALL),
+heads AS (
+    SELECT doc_id, kind, s[64] AS q1, s[128] AS q2, s[192] AS q3,
+        least(255, floor(8 * log2(n + 1)))::BIGINT AS size,
+        16 * s[64] // (s[192] + 1) AS lower, 16 * s[128] // (s[192] + 1) AS middle
+    FROM sorted JOIN listed USING (doc_id, kind)),
+codes AS (
+    SELECT doc_id, kind, bucket, (c > q1)::BIGINT + (c > q2)::BIGINT + (c > q3)::BIGINT AS code
+    FROM filled JOIN heads USING (doc_id, kind)),
+packed AS (
+    SELECT doc_id, kind, bucket // 4 AS place, sum(code * (1 << (2 * (3 - bucket % 4))::INTEGER))::BIGINT AS byte
+    FROM codes GROUP BY ALL),
+prints AS (
+    SELECT doc_id, kind, printf('%02x%02x', size, lower * 16 + middle) || string_agg(printf('%02x', byte), '' ORDER BY place) AS print
+    FROM packed JOIN heads USING (doc_id, kind) GROUP BY doc_id, kind, size, lower, middle),
+couples AS (
+    SELECT doc_id, 1 AS which, doc_id AS other, 1 AS kind FROM docs
+    UNION ALL SELECT doc_id, 2, next_id, 0 FROM docs),
+bodies AS (
+    SELECT c.doc_id, which, sum(CASE WHEN abs(a.code - b.code) = 3 THEN 6 ELSE abs(a.code - b.code) END) AS body
+    FROM couples c JOIN codes a ON a.doc_id = c.doc_id AND a.kind = 0
+        JOIN codes b ON b.doc_id = c.other AND b.kind = c.kind AND b.bucket = a.bucket
+    GROUP BY ALL),
+likes AS (
+    SELECT c.doc_id, c.which, 1 - least(416, body + abs(a.size - b.size) + abs(a.lower - b.lower) + abs(a.middle - b.middle))::DOUBLE / 416 AS alike
+    FROM couples c JOIN bodies USING (doc_id, which)
+        JOIN heads a ON a.doc_id = c.doc_id AND a.kind = 0
+        JOIN heads b ON b.doc_id = c.other AND b.kind = c.kind)
+SELECT d.doc_id, length(d.text)::BIGINT AS n_chars, sha256(d.edited) AS edited_sha256, p.print AS fingerprint,
+    e.print AS edited_fingerprint, x.alike AS near_edited, y.alike AS near_next
+FROM docs d JOIN prints p ON p.doc_id = d.doc_id AND p.kind = 0 JOIN prints e ON e.doc_id = d.doc_id AND e.kind = 1
+    JOIN likes x ON x.doc_id = d.doc_id AND x.which = 1 JOIN likes y ON y.doc_id = d.doc_id AND y.which = 2
+"""
+
+
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of the rebuilt conversations."""
+    found = conversation_trie.families(table(spark, sf_dir, "conversations"))
+    return found.drop("enter", "exit")
+
+
+ORACLES["op12_conversation_trie"] = r"""
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+    -- crc32 bit by bit over the decimal digits
+    SELECT conv_id, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+            lambda ch: list_transform(range(8), lambda i: (ascii(ch)::BIGINT >> i) & 1)))),
+        lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384))) % 9 AS h
+    FROM (SELECT DISTINCT conv_id FROM turns)),
+parts AS (
+    SELECT i.conv_id, 0 AS part, t.pos, t.role, t.text
+    FROM ids i JOIN turns t ON t.conv_id = i.conv_id - i.conv_id % 5 AND t.pos <= i.h
+    UNION ALL
+    SELECT i.conv_id, 1, t.pos, t.role, t.text FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND t.pos > i.h),
+steps AS (
+    SELECT conv_id, row_number() OVER w AS depth, strlen(text) AS size,
+        string_agg(md5(length(role) || ':' || role || text), '') OVER w AS prefix
+    FROM parts WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING)),
+rows AS (
+    SELECT conv_id, 0 AS depth, 0 AS size, '' AS prefix FROM ids
+    UNION ALL SELECT conv_id, depth, size, prefix FROM steps),
+nodes AS (
+    SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size FROM rows GROUP BY ALL),
+parents AS (
+    SELECT n.*, p.prefix AS above, p.conv_id AS parent_conv_id
+    FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.prefix = left(n.prefix, length(n.prefix) - 32)),
+children AS (SELECT above AS prefix, count(*) AS n_children FROM parents WHERE depth > 0 GROUP BY ALL),
+subtree AS (
+    -- a node hangs below each prefix of its smallest member's turns
+    SELECT r.prefix, count(*) FILTER (c.n_children IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.size)::BIGINT AS saved_tokens
+    FROM nodes n LEFT JOIN children c USING (prefix) JOIN rows r ON r.conv_id = n.conv_id AND r.depth <= n.depth
+    GROUP BY ALL),
+ends AS (
+    SELECT prefix, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+    FROM (SELECT conv_id, arg_max(prefix, depth) AS prefix FROM rows GROUP BY conv_id) GROUP BY ALL)
+SELECT p.conv_id, p.depth, p.parent_conv_id, p.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves,
+    s.saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM parents p LEFT JOIN children c USING (prefix) JOIN subtree s USING (prefix) LEFT JOIN ends e USING (prefix)
+"""
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for each anchor and positive, anchors being the ids divisible by 100."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, label=label)
+
+
+ORACLES["op13_hard_negatives"] = r"""
+WITH vectors AS (
+    SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+scored AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, list_dot_product(a.v, r.v)::BIGINT AS score
+    FROM vectors a JOIN vectors r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+positives AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score
+    FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM scored WHERE same)
+    WHERE place <= 5),
+negatives AS (
+    SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS rank
+    FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+        AND 100 * s.score BETWEEN 30 * p.positive_score AND 90 * p.positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE rank <= 10
+"""

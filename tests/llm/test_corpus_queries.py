@@ -20,7 +20,7 @@ needs_tables = pytest.mark.skipif(not Path(SF_DIR).is_dir(), reason="tables are
 
 def test_all_are_registered():
     assert {*QUERIES, "pipeline"} <= set(entry_module.queries())
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 @needs_tables
