@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,37 +147,39 @@ def apply_enrichment(jobs: DataFrame, results: DataFrame, as_of: Column) -> Data
     )
 
 
-def write_version(jobs: DataFrame, root: str, version: str) -> str:
-    """Write a whole table version; readers see it once Spark marks it complete.
+# --- the versioned table ----------------------------------------------------------------------
+
+BUCKETS = 32
+MANIFEST_SCHEMA = "version string, buckets int, bucket int, folder string"
+# the manifest row that stands for the version itself
+_HEADER = -1
+
+
+def bucket_of(buckets: int, scope: Sequence[str] = SCOPE) -> Column:
+    """The bucket of a row: a run touches whole companies, so a company is in one bucket."""
+    return F.pmod(F.xxhash64(*scope), F.lit(buckets)).cast("int")
+
+
+def _manifests(spark: SparkSession, root: str) -> DataFrame:
+    """Manifest rows of all versions; a version exists once its one manifest file does."""
+    try:
+        return spark.read.schema(MANIFEST_SCHEMA).json(f"{root}/manifests")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
 
-    Active rows are a folder of their own and sorted by age within files, so that the
-    serving filters skip the rest by folder and by file statistics. The rows stay in the
-    partitions of the merge; they are not shuffled again.
-    """
-    path = f"{root}/version={version}"
-    (
-        jobs.sortWithinPartitions("is_active", "first_seen_at")
-        .write.mode("overwrite")
-        .partitionBy("is_active")
-        .parquet(path)
-    )
-    return path
+
+def prepare(spark: SparkSession, root: str) -> None:
+    """Make the folder of manifests, so that readers find one without versions."""
+    nothing = spark.createDataFrame([(0, _HEADER, "")], "buckets int, bucket int, folder string")
+    nothing.coalesce(1).write.mode("ignore").json(f"{root}/manifests/version=none")
 
 
 def versions(spark: SparkSession, root: str) -> list[str]:
     """Names of the complete versions, in order."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(root)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    return sorted(
-        name.removeprefix("version=")
-        for name in names
-        if name.startswith("version=")
-        and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/_SUCCESS"))
-    )
+    headers = _manifests(spark, root).where((F.col("bucket") == _HEADER) & (F.col("buckets") > 0))
+    return sorted(r.version for r in headers.collect())
 
 
 def latest_version(spark: SparkSession, root: str, before: str | None = None) -> str | None:
@@ -184,7 +187,63 @@ def latest_version(spark: SparkSession, root: str, before: str | None = None) ->
     return max((v for v in versions(spark, root) if before is None or v < before), default=None)
 
 
-def read_version(spark: SparkSession, root: str, version: str | None) -> DataFrame:
+def bucket_folders(spark: SparkSession, root: str, version: str | None) -> dict[int, str]:
+    """The folder of each bucket of a version, below ``root``; at most one row a bucket."""
     if version is None:
+        return {}
+    rows = _manifests(spark, root).where(F.col("version") == version)
+    return {r.bucket: r.folder for r in rows.collect() if r.bucket != _HEADER}
+
+
+def touched_buckets(rows: DataFrame, buckets: int = BUCKETS) -> list[int]:
+    """The buckets that ``rows`` fall into."""
+    found = rows.select(bucket_of(buckets).alias("bucket")).distinct()
+    return sorted(r.bucket for r in found.collect())
+
+
+def write_version(
+    jobs: DataFrame,
+    root: str,
+    version: str,
+    previous: str | None = None,
+    touched: Sequence[int] | None = None,
+    buckets: int = BUCKETS,
+) -> None:
+    """Write the ``touched`` buckets of a version; the others stay the files of ``previous``.
+
+    ``jobs`` holds all rows of the touched buckets (of all buckets by default). Each bucket
+    is a folder, and its active rows are a folder of their own, sorted by age within files,
+    so that the serving filters skip the rest by folder and by file statistics. Spark splits
+    a large bucket over several files and puts small ones together in a task. The manifest
+    is written last, as one file, and readers take the files that it names.
+    """
+    spark = jobs.sparkSession
+    rows = f"rows/version={version}"
+    if touched is None:
+        touched = touched_buckets(jobs, buckets)
+    kept = bucket_folders(spark, root, previous)
+    if touched:
+        (
+            jobs.withColumn("bucket", bucket_of(buckets))
+            .hint("rebalance", "bucket")
+            .sortWithinPartitions("bucket", "is_active", "first_seen_at")
+            .write.mode("overwrite")
+            .partitionBy("bucket", "is_active")
+            .parquet(f"{root}/{rows}")
+        )
+    folders = {**kept, **{b: f"{rows}/bucket={b}" for b in touched}}
+    listed = [(buckets, _HEADER, ""), *((buckets, b, f) for b, f in sorted(folders.items()))]
+    manifest = spark.createDataFrame(listed, "buckets int, bucket int, folder string")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{root}/manifests/version={version}")
+
+
+def read_version(
+    spark: SparkSession, root: str, version: str | None, only: Sequence[int] | None = None
+) -> DataFrame:
+    """The rows of a version, or of some of its buckets; the other buckets' files stay closed."""
+    folders = bucket_folders(spark, root, version)
+    paths = [f"{root}/{f}" for b, f in sorted(folders.items()) if only is None or b in set(only)]
+    if not paths:
         return empty_jobs(spark)
-    return spark.read.schema(JOBS_SCHEMA).parquet(f"{root}/version={version}")
+    names = empty_jobs(spark).columns
+    return spark.read.schema(JOBS_SCHEMA).option("basePath", f"{root}/rows").parquet(*paths).select(names)

@@ -148,12 +148,15 @@ def search(
 
 
 def pending_enrichment(
-    jobs: DataFrame, prompt_hash: str, sources: Sequence[str], limit: int = 200
+    jobs: DataFrame, prompt_hash: str, sources: Sequence[str], limit: int | None = 200
 ) -> DataFrame:
-    """Oldest active rows of ``sources`` without tags of the current prompt version."""
+    """Oldest active rows of ``sources`` without tags of the current prompt version.
+
+    Without a ``limit`` all such rows, in no order.
+    """
     stale = ~F.col("enriched_prompt_hash").eqNullSafe(F.lit(prompt_hash))
     rows = jobs.where(F.col("is_active") & F.col("source").isin(*sources) & stale)
-    return rows.orderBy("first_seen_at", "id").limit(limit)
+    return rows if limit is None else rows.orderBy("first_seen_at", "id").limit(limit)
 
 
 def sample_rows(jobs: DataFrame, limit: int, source: str | None = None) -> DataFrame:

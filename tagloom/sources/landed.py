@@ -23,9 +23,15 @@ LANDING_SCHEMA = f"{PAYLOAD_SCHEMA}, run_id string"
 _LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
-def read_landed(spark: SparkSession, root: str) -> DataFrame:
-    """Landed payloads below ``root``; run, source and kind come from the folders."""
-    return spark.read.schema(LANDING_SCHEMA).json(root)
+def read_landed(
+    spark: SparkSession, root: str, runs: Sequence[str] | None = None
+) -> DataFrame:
+    """Landed payloads below ``root``; run, source and kind come from the folders.
+
+    With ``runs`` only the folders of those runs are listed.
+    """
+    reader = spark.read.schema(LANDING_SCHEMA).option("basePath", root)
+    return reader.json(root if runs is None else [f"{root}/run_id={r}" for r in runs])
 
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:

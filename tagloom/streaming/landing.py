@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tagloom.operators.merge import (
     latest_version,
     merge_snapshot,
+    prepare,
     read_version,
+    touched_buckets,
     versions,
     write_version,
 )
 from tagloom.plans.postings import in_region, read_postings
-from tagloom.session import cut_lineage
+from tagloom.session import scratch_path
 from tagloom.sources.landed import read_landed
 
 RUN_FORMAT = "yyyyMMdd'T'HHmmss"
@@ -22,16 +24,51 @@ RUN_FORMAT = "yyyyMMdd'T'HHmmss"
 # What a file listing shows; the content column is never selected and so never read.
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
+LOG_SCHEMA = (
+    "run_id string, batch bigint, fetched bigint, upserted bigint, deactivated bigint, "
+    "buckets_touched int"
+)
+
 
 def apply_run(
     spark: SparkSession, incoming: DataFrame, target: str, run_id: str, batch_id: int
-) -> str:
-    """Merge the in-region rows of one run into the newest version of an earlier run."""
+) -> dict[str, int]:
+    """Merge the in-region rows of one run into the newest version of an earlier run.
+
+    Only the buckets of companies that sent rows are read and written again. Returns the
+    numbers of upserted and deactivated rows and of touched buckets.
+    """
     # a version's name begins with its run, so every version of this run sorts behind the bare id
-    current = read_version(spark, target, latest_version(spark, target, before=run_id))
+    previous = latest_version(spark, target, before=run_id)
+    touched = touched_buckets(incoming)
+    current = read_version(spark, target, previous, touched)
     as_of = F.to_timestamp(F.lit(run_id), RUN_FORMAT)
-    merged = merge_snapshot(current, incoming, as_of)
-    return write_version(merged.drop("change_type"), target, f"{run_id}-{batch_id:010d}")
+    changes = Observation(f"changes-{run_id}")
+    merged = merge_snapshot(current, incoming, as_of).observe(
+        changes,
+        F.count_if(F.col("change_type").isin("inserted", "updated")).alias("upserted"),
+        F.count_if(F.col("change_type") == "deactivated").alias("deactivated"),
+    )
+    write_version(
+        merged.drop("change_type"), target, f"{run_id}-{batch_id:010d}", previous, touched
+    )
+    counted = changes.get if touched else {"upserted": 0, "deactivated": 0}
+    return {**counted, "buckets_touched": len(touched)}
+
+
+def log_run(spark: SparkSession, target: str, run_id: str, batch_id: int, numbers: dict) -> None:
+    """Write the run's row of the log; a repeated batch or re-applied run replaces it."""
+    row = [batch_id, numbers["fetched"], numbers["upserted"], numbers["deactivated"], numbers["buckets_touched"]]
+    schema = LOG_SCHEMA.removeprefix("run_id string, ")
+    spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").json(
+        f"{target}/log/run_id={run_id}"
+    )
+
+
+def read_log(spark: SparkSession, target: str) -> DataFrame:
+    """One row per merged run."""
+    names = [column.split()[0] for column in LOG_SCHEMA.split(", ")]
+    return spark.read.schema(LOG_SCHEMA).json(f"{target}/log").select(*names)
 
 
 def ingest_landed(
@@ -46,21 +83,30 @@ def ingest_landed(
     files land for a run that later runs were already merged over, the later runs are merged
     again, in order, from the version before the late run; the result is that of ordered
     landing. A version is named by run and batch, so a batch that is repeated after a
-    failure writes the same versions again from the same predecessors.
+    failure writes the same versions again from the same predecessors. Each run leaves one
+    row in the log.
     """
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
         # one small row per landed run
         landed = {r.run_id for r in batch.distinct().collect()}
-        applied = {v.rsplit("-", 1)[0] for v in versions(spark, target)}
+        applied = {v.split("-", 1)[0] for v in versions(spark, target)}
         runs = sorted(landed | {r for r in applied if landed and r > min(landed)})
-        payloads = read_landed(spark, landing).where(F.col("run_id").isin(runs))
-        # the rules run once for all runs of the batch; the merges read their result
-        rows = cut_lineage(in_region(read_postings(payloads, companies, carry=["run_id"])))
+        if not runs:
+            return
+        extracted = read_postings(read_landed(spark, landing, runs), companies, carry=["run_id"])
+        fetched = Observation(f"fetched-{batch_id}")
+        counts = [F.count_if(F.col("run_id") == r).alias(r) for r in runs]
+        # the rules run once for all runs of the batch; each merge reads the folder of its run
+        rows = scratch_path(spark, "run-rows")
+        in_region(extracted.observe(fetched, *counts)).write.partitionBy("run_id").parquet(rows)
+        stored = spark.read.schema(extracted.schema).parquet(rows)
         for run_id in runs:
-            incoming = rows.where(F.col("run_id") == run_id).drop("run_id")
-            apply_run(spark, incoming, target, run_id, batch_id)
+            incoming = stored.where(F.col("run_id") == run_id).drop("run_id")
+            numbers = apply_run(spark, incoming, target, run_id, batch_id)
+            log_run(spark, target, run_id, batch_id, {**numbers, "fetched": fetched.get[run_id]})
 
+    prepare(spark, target)
     files = (
         spark.readStream.format("binaryFile")
         .schema(FILE_SCHEMA)
