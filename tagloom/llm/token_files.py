@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,11 +32,12 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import lean, opened, saved, slices
 from tagloom.session import scratch_path
 
-CACHED_WORDS = 200_000
+CACHED_PIECES = 200_000
+SLICE = 16 << 20
 CACHED_CHARS = 48
 # printable ASCII and the letters of Latin-1: composed already, and lowered alike everywhere
 PLAIN = "[!-~À-ÖØ-öø-ÿ]"
-PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-öø-ÿ0-9\n]+")
 NO_DOCUMENT = -(1 << 63)
 MANIFEST = "shard int, name string, documents long, tokens long, width int"
 
@@ -44,11 +46,11 @@ class WordEncoder:
     """A tokenizer of the tokenizers library whose model never looks across a blank.
 
     Texts are cut at blanks and line ends, which that kind of tokenizer drops, and each distinct
-    word is encoded by the library once while it stays in the bounded cache. Plain words are lowered
-    and cut into the tokenizer's pieces first, because far fewer pieces than words are distinct; the
-    pieces go through the library's model without its normaliser. All other words, and those that
-    may hold a special token, go through the whole tokenizer. A tokenizer whose normaliser or
-    pieces are not of this kind uses the whole one throughout.
+    word of a slice is encoded once. Plain words are lowered and cut into the tokenizer's pieces
+    first, because far fewer pieces than words are distinct; each distinct piece goes through the
+    library's model, without its normaliser, while it stays in one of two bounded generations of a
+    cache. All other words, and those that may hold a special token, go through the whole tokenizer.
+    A tokenizer whose normaliser or pieces are not of this kind uses the whole one throughout.
     """
 
     def __init__(self, path: str):
@@ -63,8 +65,7 @@ class WordEncoder:
         self.code = "H" if self.width == 2 else "I"
         self.model.normalizer = normalizers.Sequence([])
         self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        special = "".join(f"(?!{re.escape(t.content)})" for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.plain = re.compile(f"(?:{special}{PLAIN})+").fullmatch
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_pieces = self._cuts_alike()
         self.forget()
 
@@ -80,43 +81,81 @@ class WordEncoder:
         return [text.lower()[a:b] for _, (a, b) in cut] == PIECES.findall(text.lower())
 
     def forget(self) -> None:
-        """Drop the encoded words kept so far."""
-        self.words, self.older = {"": b""}, {}
+        """Drop the encoded pieces kept so far."""
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, tokenizer, texts: list[str]) -> list[bytes]:
         found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array(self.code, e.ids).tobytes() for e in found]
 
-    def _encoded(self, new: set[str]) -> dict[str, bytes]:
-        """The packed ids of words without blanks."""
-        words = list(filter(self.plain, new)) if self.by_pieces else []
-        cut = [PIECES.findall(w.lower()) for w in words]
-        if len(self.pieces) > CACHED_WORDS:
-            self.pieces = {}
-        unseen = list(set().union(*cut) - self.pieces.keys())
-        self.pieces.update(zip(unseen, self._ids(self.model, unseen)))
-        found = dict(zip(words, [b"".join(map(self.pieces.__getitem__, parts)) for parts in cut]))
-        for piece in unseen:
-            if len(piece) > CACHED_CHARS:
-                del self.pieces[piece]
-        whole = list(new - found.keys())
-        found.update(zip(whole, self._ids(self.tokenizer, whole)))
+    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
+        """The packed ids of distinct pieces, from the two generations of the cache where they are."""
+        if len(self.pieces) > CACHED_PIECES:
+            self.older, self.pieces = self.pieces, {}
+        found = [self.pieces.get(p) or self.older.get(p) for p in pieces]
+        places = [i for i, ids in enumerate(found) if ids is None]
+        unseen = [pieces[i] for i in places]
+        for i, ids in zip(places, self._ids(self.model, unseen)):
+            found[i] = ids
+        self.pieces.update((p, ids) for p, ids in zip(pieces, found) if len(p) <= CACHED_CHARS)
         return found
 
+    def _unpacked(self, packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Packed ids back to back, and their numbers."""
+        sizes = np.array(list(map(len, packed)), np.int64) // self.width
+        return np.frombuffer(b"".join(packed), f"<u{self.width}"), sizes
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words without blanks, and where each word's ids begin and how many they are."""
+        plain = np.zeros(len(words), bool)
+        if self.by_pieces:
+            fits = pc.match_substring_regex(words, f"^{PLAIN}+$")
+            for token in self.special:
+                fits = pc.and_(fits, pc.invert(pc.match_substring(words, token)))
+            plain = fits.to_numpy(zero_copy_only=False)
+        # one pass over all plain words, a line each; a line end is a piece that stands for no ids
+        text = "\n".join(words.filter(pa.array(plain)).to_pylist()).lower()
+        pieces = pa.array(PIECES.findall(text), pa.string()).dictionary_encode()
+        known = pieces.dictionary.to_pylist()
+        at = known.index("\n") if "\n" in known else len(known)
+        packed = self._piece_ids([p for p in known if p != "\n"])
+        ids, sizes = self._unpacked([*packed[:at], b"", *packed[at:]])
+        order = pieces.indices.to_numpy()
+        own = np.bincount(np.cumsum(order == at), weights=sizes[order], minlength=plain.sum()).astype(np.int64)
+        whole = words.filter(pa.array(~plain)).to_pylist()
+        others, counts = self._unpacked(self._ids(self.tokenizer, whole))
+        first = gathered(ids, np.cumsum(sizes) - sizes, sizes, order)
+        lengths, begins = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        lengths[plain], lengths[~plain] = own[: plain.sum()], counts
+        begins[plain] = np.cumsum(lengths[plain]) - lengths[plain]
+        begins[~plain] = len(first) + np.cumsum(counts) - counts
+        return np.concatenate([first, others]), begins, lengths
+
+    def encode_column(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts back to back, each with the end id behind it, and their numbers."""
+        cut = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        words = cut.flatten().dictionary_encode()
+        ids, begins, sizes = self._encoded(words.dictionary)
+        # the words of each text by number, and behind them that of the end id
+        begins, sizes = np.append(begins, len(ids)), np.append(sizes, 1)
+        stops = cut.offsets.to_numpy()[1:] - cut.offsets.to_numpy()[0]
+        order = np.insert(words.indices.to_numpy(), stops, len(sizes) - 1)
+        ends = np.cumsum(sizes[order])
+        lengths = np.diff(ends[stops + np.arange(len(stops))], prepend=0)
+        return gathered(np.append(ids, np.array([end], ids.dtype)), begins, sizes, order), lengths
+
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """The packed ids of each text with the end id behind them."""
-        cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        if len(self.words) > CACHED_WORDS:
-            self.older, self.words = self.words, {"": b""}
-        new = set().union(*cut) - self.words.keys()
-        known = {w: self.older[w] for w in new & self.older.keys()}
-        known.update(self._encoded(new - known.keys()))
-        long = {w: known.pop(w) for w in new if len(w) > CACHED_CHARS}
-        self.words.update(known)
-        last = array(self.code, [end]).tobytes()
-        words = self.words if not long else {**self.words, **long}
-        return [b"".join(map(words.__getitem__, c)) + last for c in cut]
+        ids, lengths = self.encode_column(pa.array(texts, pa.string()), end)
+        return [part.tobytes() for part in np.split(ids, np.cumsum(lengths)[:-1])] if texts else []
+
+
+def gathered(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that begin at ``begins``, back to back in the given order."""
+    counts = sizes[order]
+    shift = begins[order] - (np.cumsum(counts) - counts)
+    return values[np.repeat(shift, counts) + np.arange(counts.sum())]
 
 
 @lru_cache(maxsize=2)
@@ -133,15 +172,15 @@ def write(df: DataFrame, vocabulary: str, folder: str, end: int, doc: str = "doc
         number = TaskContext.get().partitionId()
         name = f"shard-{number:06d}-{uuid.uuid4().hex}"
         docs, lengths, out = [], [], None
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches, most=SLICE):
             if out is None:
                 files.create_dir(root, recursive=True)
                 out = files.open_output_stream(f"{root}/{name}.ids")
             gc.disable()  # a slice makes many small lists and no cycles
-            ids = encoder.encode(batch.column(1).to_pylist(), end)
+            ids, sizes = encoder.encode_column(batch.column(1), end)
             gc.enable()
-            out.write(b"".join(ids))
-            lengths += [len(x) // encoder.width for x in ids]
+            out.write(ids.tobytes())
+            lengths += sizes.tolist()
             docs += batch.column(0).fill_null(NO_DOCUMENT).to_pylist()
         if out is None:
             return
