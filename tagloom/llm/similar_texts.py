@@ -204,6 +204,18 @@ def candidates(classes: DataFrame) -> DataFrame:
     return balls(classes).repartition("key").sortWithinPartitions("key", "class").mapInArrow(met, "a long, b long")
 
 
+def hooked(links: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the same nodes: each a with its least b, and its other bs with that one.
+
+    A member meets at most one star a key, so its list is bounded by the keys that it emits. Of a
+    group of many members the seeds are few, so about one link a member is left.
+    """
+    lists = links.groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("seeds"))
+    lists = lists.withColumn("least", F.get("seeds", F.lit(0)))
+    others = lists.select(F.explode(F.slice("seeds", 2, 1 << 20)).alias("a"), F.col("least").alias("b")).distinct()
+    return lists.select("a", F.col("least").alias("b")).unionByName(others)
+
+
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     """How many hashes each two of the sets share."""
     sizes = [len(s) for s in sets]
@@ -281,12 +293,12 @@ def verified(members: DataFrame) -> DataFrame:
 
 
 def similar(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row (hash of id and text), class and component_id (the least doc_id linked) of every row."""
+    """Each row's doc_id, row (hash of id and text), class, component_id (the least doc_id linked) and root (of the component)."""
     given = df.select(F.col(f"`{doc}`").alias("doc_id"), F.xxhash64(f"`{doc}`", f"`{text}`").alias("row"), F.col(f"`{text}`").alias("text"))
     rows = saved(signatures(given), "signatures")
     first = [F.min(c).alias(c) for c in ("row", "prints", "keys")]
     classes = saved(rows.groupBy("class").agg(F.min("doc_id").alias("least"), *first), "classes")
-    blocks = components(candidates(classes))
+    blocks = components(hooked(candidates(classes)))
     blocks = blocks.select(F.col("u").alias("class"), F.col("v").alias("block"))
     blocks = blocks.union(blocks.select("block", "block")).distinct()
     chosen = blocks.join(classes.select("class", "row"), "class")
@@ -297,5 +309,5 @@ def similar(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame
     rooted = classes.select("class", "least").join(roots, "class", "left")
     rooted = rooted.select("class", "least", F.coalesce("root", "class").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rooted.join(least, "root").select("class", "component_id")
-    return rows.select("doc_id", "row", "class").join(found, "class").select("doc_id", "row", "class", "component_id")
+    found = rooted.join(least, "root").select("class", "component_id", "root")
+    return rows.select("doc_id", "row", "class").join(found, "class").select("doc_id", "row", "class", "component_id", "root")
