@@ -18,8 +18,10 @@ lose every byte if they have ``LENGTH`` at all. A shard whose distinct fragments
 (one anchor in very many contexts) is not sorted in one task: its strings are then grouped by a shuffle.
 
 Defined cases: a null or empty text has no bytes and loses none; a row with a null id neither loses nor
-covers anything; rows that repeat an id must repeat its text, and lose the same bytes; an empty table
-gives no rows; other columns are kept, the operator's own replace those of the same name.
+covers anything; rows that repeat an id and its text lose the same bytes, and different texts
+of one id count as documents in order of their digest; a very long text is held whole only by a task
+that reads it, its fragments are dealt like all others; an empty table gives no rows; other columns are
+kept, the operator's own replace those of the same name.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.common import lean, slices, text_bytes
+from tagloom.llm.common import lean, saved, slices, text_bytes
 from tagloom.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH = 50
@@ -460,6 +462,8 @@ def deduplicated(
     given = documents.select(*[F.col(f"`{c}`") for c in names])
     base = given.where(F.col(doc).isNotNull())
     digests = base.select(doc, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest"))
+    if not digests.groupBy(doc).agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a < b").isEmpty():
+        return _by_row(documents, digests, doc, text, shards, crowded)
     first = digests.groupBy("digest").agg(F.min(doc).alias("least"), F.max(doc).alias("most"))
     copies = digests.join(first.where("least < most"), "digest").where(F.col(doc) > F.col("least")).select(doc).distinct()
     runs = covered_runs(base.join(copies, doc, "left_anti").select(*names), doc, text, shards, crowded)
@@ -488,6 +492,18 @@ def deduplicated(
     return judged.union(nameless).mapInArrow(cut, schema)
 
 
+def _by_row(documents: DataFrame, digests: DataFrame, doc: str, text: str, shards: int, crowded: int) -> DataFrame:
+    """``deduplicated`` where an id has several texts: each gets a number of its own, in order of id, then digest."""
+    pairs = digests.distinct().repartitionByRange(doc, "digest").sortWithinPartitions(doc, "digest")
+    numbers = saved(pairs.withColumn("__number", F.monotonically_increasing_id()), "text-numbers")
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    keyed = documents.withColumn("digest", digest).join(numbers, [doc, "digest"], "left").drop("digest")
+    found = deduplicated(keyed.withColumnRenamed(doc, "__id").withColumnRenamed("__number", doc), doc, text, shards, crowded)
+    own = found.columns[-3:]
+    names = [c for c in documents.columns if c not in own]
+    return found.select(*[F.col("__id" if c == doc else f"`{c}`").alias(c) for c in names], *own)
+
+
 @F.pandas_udf(T.StringType())
 def whole_characters(data: pd.Series) -> pd.Series:
     """The text of bytes that may hold parts of characters, without those parts."""
