@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import contamination, quality, rank_bpe, similar_texts, suffix_dedup
@@ -12,26 +12,50 @@ from tagloom.llm.common import saved, table
 from tagloom.llm.queries import BYTE_BPE
 
 
+_KEY = "__row"
+
+
+def _operated(docs: DataFrame, run: Callable[[DataFrame], DataFrame], own: Sequence[str]) -> DataFrame:
+    """``run`` over ``docs``, whose columns named like the operator's own are kept under other names.
+
+    The result has the operator's columns and, as ``__in_<name>``, all columns of ``docs`` but those
+    that the operator reads.
+    """
+    aside = [c for c in docs.columns if c not in own]
+    return run(docs.select(*own, *[F.col(f"`{c}`").alias(f"__in_{c}") for c in aside]))
+
+
+def _restored(docs: DataFrame, operated: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` from what ``_operated`` returned, some of them changed."""
+    names = set(operated.columns)
+    return operated.select(
+        *[changed[c].alias(c) if c in changed else F.col(f"`__in_{c}`" if f"__in_{c}" in names else f"`{c}`").alias(c) for c in docs.columns]
+    )
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose co-trained quality score is high enough."""
-    scored = quality.score(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("score") >= quality.REJECT_BELOW).select(*docs.columns)
+    read = ["doc_id", "text", "lang", "source", "n_chars"]
+    scored = _operated(docs, lambda d: quality.score(d, table(spark, sf_dir, "labels")), read)
+    return _restored(docs, scored.where(F.col("score") >= quality.REJECT_BELOW))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar texts, that with the least id; null ids stay.
 
-    Similar are texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
-    Of rows that repeat an id, the one whose text is least in order stays.
+    Similar are texts whose five-word shingles have a Jaccard similarity of 0.8 or more. Each row is
+    judged by its own text, so rows of one id and unlike texts all stay; of rows that repeat an id
+    and text, the one whose other columns are least in order stays.
     """
-    found = similar_texts.similar(docs)
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # rows without an id are all kept, and are spread by their text
-    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    same = Window.partitionBy("doc_id", spread).orderBy("text")
-    numbered = left.withColumn("__row", F.row_number().over(same))
-    return numbered.where("__row = 1 OR doc_id IS NULL").select(*docs.columns)
+    found = saved(similar_texts.similar(docs).select("doc_id", F.col("row").alias(_KEY), "root"), "similar")
+    named, key = found.where("doc_id IS NOT NULL"), ["doc_id", _KEY]
+    keep = named.groupBy("root").agg(F.min(F.struct(*key)).alias("first")).select("first.*")
+    repeated = named.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    keyed = docs.withColumn(_KEY, F.xxhash64("doc_id", "text"))
+    kept = keyed.join(keep, key, "left_semi")
+    several = kept.join(repeated, key, "left_semi").groupBy(*key).agg(F.min(F.struct(*docs.columns)).alias("one"))
+    once = kept.join(repeated, key, "left_anti").select(*docs.columns)
+    return once.unionByName(several.select("one.*")).unionByName(docs.where("doc_id IS NULL"))
 
 
 def repeated_text_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,25 +63,33 @@ def repeated_text_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     A character of which only some bytes are removed goes as a whole.
     """
-    cut = suffix_dedup.deduplicated(docs)
+    cut = _operated(docs, suffix_dedup.deduplicated, ["doc_id", "text"])
     changed = F.size("spans") > 0
     left = suffix_dedup.whole_characters(F.when(changed, F.col("kept")))
     cut = cut.withColumn("text", F.when(changed, left).otherwise(F.col("text")))
-    n_chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", n_chars).select(*docs.columns)
+    new = {"n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("__in_n_chars"))}
+    return _restored(docs, cut, **(new if "n_chars" in docs.columns else {}))
 
 
 def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold too little of the benchmark to be contaminated."""
-    found = contamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~contamination.contaminated()).select(*docs.columns)
+    found = _operated(docs, lambda d: contamination.contamination(d, table(spark, sf_dir, "benchmark")), ["doc_id", "text"])
+    return _restored(docs, found.where(~contamination.contaminated()))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its token ids, their number, and the text decoded from them."""
-    coded = rank_bpe.decode(rank_bpe.encode(docs, BYTE_BPE).drop("text"), BYTE_BPE, text="text")
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return coded.select("doc_id", "text", *rest, F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Every document with its token ids, their number, and the text decoded from them.
+
+    Columns of ``docs`` named ``ids`` or ``n_tokens`` give way to these.
+    """
+    def coded(d: DataFrame) -> DataFrame:
+        return rank_bpe.decode(rank_bpe.encode(d, BYTE_BPE).drop("text"), BYTE_BPE, text="text")
+
+    found = _operated(docs, coded, ["doc_id", "text"])
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_tokens", "ids")]
+    return found.select(
+        "doc_id", "text", *[F.col(f"`__in_{c}`").alias(c) for c in rest], F.size("ids").cast("long").alias("n_tokens"), "ids"
+    )
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
