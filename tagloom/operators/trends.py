@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.rules import segment
-from tagloom.operators.ranking import number_rows, top_per_group
+from tagloom.operators.ranking import count_ranks, top_per_group
 
 WINDOW_DAYS = {"7d": 7, "30d": 30, "90d": 90, "all": None}
 DEFAULT_WINDOW = "30d"
@@ -50,9 +50,7 @@ def tag_frequency(
     rows: DataFrame, categories: DataFrame, column: str = "tech_stack", other: str = "other"
 ) -> DataFrame:
     """Tags by falling count (ties by name): tag, count, rank, tag_total, category."""
-    ranked = number_rows(
-        tag_counts(rows, column), [F.col("count").desc(), F.col("tag").asc()], total="tag_total"
-    )
+    ranked = count_ranks(tag_counts(rows, column), "tag", total="tag_total")
     return ranked.join(categories, "tag", "left").select(
         "tag", "count", "rank", "tag_total", F.coalesce("category", F.lit(other)).alias("category")
     )

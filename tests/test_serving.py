@@ -1,5 +1,6 @@
 """View, filters, pages, search, facets, headline figures, saved filters."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -278,3 +279,66 @@ def test_pending_and_sample(spark):
     assert [r.id for r in pending.collect()] == ["4", "2"]
     assert ids(serving.sample_rows(jobs, 2)) == ["1", "2"]
     assert ids(serving.sample_rows(jobs, 5, "greenhouse")) == ["6"]
+
+
+@pytest.mark.parametrize("share", [7, 1 << 20])
+def test_random_matches_equal_all_pairs(spark, share):
+    """Without broadcasts, with hot keys that are spread and a filter that matches all rows."""
+    rng = random.Random(9)
+    tags, levels, sources = ["Go", "go", "Rust", "C++", "SQL"], ["junior", "senior", None], ["lever", "workday", None]
+    rows = [
+        (str(i), rng.sample(tags, rng.randint(0, 3)), rng.choice(levels), rng.choice(sources), rng.choice([True, False, None]))
+        for i in range(120)
+    ]
+    schema = "id string, tech_stack array<string>, seniority string, source string, is_remote boolean"
+    frame = spark.createDataFrame(rows, schema).repartition(3)
+
+    def query():
+        parts = [
+            f"tech={','.join(rng.sample(['go', 'RUST', 'sql', 'none'], rng.randint(0, 2)))}",
+            f"seniority={rng.choice(['senior', 'junior', ''])}",
+            f"source={rng.choice(['lever', 'other', ''])}",
+            f"remote={rng.choice(['true', 'false', 'hybrid', ''])}",
+        ]
+        return "&".join(rng.sample(parts, rng.randint(1, 4)))
+
+    listed = [(f"f{i}", query(), rng.random() < 0.5) for i in range(40)] + [("none", "", True), ("all", "x=1", False)]
+    parsed = alerts.parse_filters(
+        spark.createDataFrame(listed, "filter_id string, query string, enabled boolean"),
+        presets.SENIORITY_LABELS, presets.WORKPLACE_LABELS,
+    )
+    place = {True: "true", False: "false", None: "null"}
+    wanted = set()
+    for f in parsed.collect():
+        for i, tech, level, source, remote in rows:
+            known = {t.lower() for t in tech}
+            ok = f.query and (f.tags is None or known & set(f.tags)) and f.seniority in (None, level)
+            ok = ok and f.source in (None, source)
+            where = f.workplace if f.workplace in ("true", "false") else "null"
+            if ok and (f.workplace is None or where == place[remote]):
+                wanted.add((i, f.filter_id))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = [tuple(r) for r in alerts.match_filters(frame, parsed, share=share).collect()]
+        flags = {r.id: r.matches_filter for r in alerts.flag_matches(frame, parsed, share=share).collect()}
+        entries = alerts._rarest(frame, alerts._candidates(parsed, "query"))
+        # each filter is entered by one field, and keys that no filter is entered by list no rows
+        assert entries.groupBy("filter_id").agg(F.count_distinct("field").alias("n")).where("n > 1").count() == 0
+        used = {r.key for r in entries.select("key").distinct().collect()}
+        listed = alerts._row_keys(frame, entries).select(F.explode("keys").alias("key")).distinct().collect()
+        assert {r.key for r in listed if not r.key.startswith("t:")} <= used
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(found) == len(set(found)) and set(found) == wanted
+    enabled = {f for f, _, on in [(f.filter_id, f.query, f.enabled) for f in parsed.collect()] if on}
+    assert flags == {i: any((i, f) in wanted for f in enabled) for i, *_ in rows}
+
+
+def test_an_empty_filter_flags_every_row(spark, view):
+    frame = spark.createDataFrame([("all", "x=1", True)], "filter_id string, query string, enabled boolean")
+    parsed = alerts.parse_filters(frame, presets.SENIORITY_LABELS, presets.WORKPLACE_LABELS)
+    flagged = alerts.flag_matches(view, parsed)
+    assert all(r.matches_filter for r in flagged.collect())
+    none = alerts.flag_matches(view, parsed.limit(0))
+    assert not any(r.matches_filter for r in none.collect())
+    assert alerts.match_filters(view, parsed.limit(0)).count() == 0

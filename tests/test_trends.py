@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import board, enrich, trends
 from tagloom.operators.keys import one_per_key, salted_join
-from tagloom.operators.ranking import number_rows, top_per_group
+from tagloom.operators.ranking import count_ranks, number_rows, top_per_group
 from tagloom.plans import presets
 
 BASKETS = [["a", "b", "c"], ["a", "b"], ["a"], ["c", "a"], [], ["d", "b"], ["z"]]
@@ -298,3 +298,19 @@ def test_version_hash(spark):
 
 def test_values_helper_keeps_order(spark):
     assert values(spark, F.col("a"), [3, 1, 2], "a int") == [3, 1, 2]
+
+
+def test_count_ranks_start_no_job_and_equal_a_sort(spark):
+    rng = random.Random(4)
+    names = {"".join(rng.choice("ab+é") for _ in range(rng.randint(0, 12))) for _ in range(400)}
+    rows = [(n, rng.choice([1, 1, 1, 2, 5, 9])) for n in sorted(names)] + [(None, 2)]
+    frame = spark.createDataFrame(rows, "tag string, count long").repartition(3)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("compose", "nothing may run")
+    ranked = count_ranks(frame, "tag")
+    assert not tracker.getJobIdsForGroup("compose")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    key = lambda r: (-r[1], r[0] is not None, (r[0] or "").encode())
+    want = [(*r, i, len(rows)) for i, r in enumerate(sorted(rows, key=key), 1)]
+    assert sorted(map(tuple, ranked.collect()), key=lambda r: r[2]) == want
+    assert count_ranks(frame.limit(0), "tag").count() == 0
