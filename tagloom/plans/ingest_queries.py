@@ -14,6 +14,7 @@ from tagloom.plans.tables import table, text_of, time_text
 from tagloom.plans.text_queries import _EDGE_L, _EDGE_R, ANSWERS_SQL, order_answers
 from tagloom.session import scratch_path
 from tagloom.sources import landed
+from tagloom.sources.large_lists import large_json_items, large_markdown_rows
 from tagloom.streaming.landing import ingest_landed
 
 # --- landed documents -------------------------------------------------------------------------
@@ -68,6 +69,71 @@ def markdown_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("pos", "url")
 
 
+def _land_lines(lines: DataFrame, root: str) -> str:
+    """Write lines (company, place, line) as one document per company and return the folder."""
+    ordered = lines.repartition("company").sortWithinPartitions("company", "place")
+    written = ordered.select(F.lit("orders").alias("source"), "company", "line")
+    written.write.partitionBy("source", "company").text(root)
+    return root
+
+
+@query("""
+WITH o AS (SELECT c_nationkey, o_orderkey, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey),
+e AS (
+  SELECT c_nationkey, o_orderkey AS place, CAST(o_orderkey AS VARCHAR) AS id, '["' || o_orderpriority || ']' AS note FROM o
+  UNION ALL SELECT c_nationkey, max(o_orderkey) + 1, 'last', NULL FROM o GROUP BY c_nationkey)
+SELECT 'orders' AS source, CAST(c_nationkey AS VARCHAR) AS company_slug, id, note,
+       CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY place) - 1 AS INTEGER) AS pos FROM e""")
+def large_list_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One list document per nation, cut into its elements by the tasks that read its splits."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    rows = table(spark, sf_dir, "orders").join(customers, "o_custkey")
+    company, place = F.col("c_nationkey").cast("string").alias("company"), F.col("o_orderkey")
+    note = F.concat(F.lit('["'), "o_orderpriority", F.lit("]"))
+    element = F.to_json(F.struct(place.cast("string").alias("id"), note.alias("note"), F.array(F.lit(1), F.lit(2)).alias("x")))
+    body = rows.select(company, place.alias("place"), F.concat(element, F.lit(",")).alias("line"))
+    ends = rows.groupBy(company).agg(F.max("o_orderkey").alias("most"))
+    head = F.lit('{"meta": [1, {"jobs": [3]}], "jobs": [')
+    ends = ends.select(
+        "company",
+        F.inline(
+            F.array(
+                F.struct(F.lit(-1).cast("long").alias("place"), head.alias("line")),
+                F.struct((F.col("most") + 1).alias("place"), F.lit('{"id": "last"}], "end": 2}').alias("line")),
+            )
+        ),
+    )
+    root = _land_lines(body.unionByName(ends), scratch_path(spark, "large-lists"))
+    items = large_json_items(spark, root, "jobs")
+    return items.select(
+        "source", "company_slug", "pos",
+        coerce.path_value(F.col("raw"), "id").alias("id"), coerce.path_value(F.col("raw"), "note").alias("note"),
+    )
+
+
+@query("""
+SELECT p_brand AS company_slug, p_name AS title, CASE WHEN p_size > 25 THEN p_type END AS type,
+       upper(md5(p_name)) AS external_id,
+       CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) + 1 AS INTEGER) AS pos FROM part""")
+def large_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pipe table per brand, read line by line."""
+    parts = table(spark, sf_dir, "part")
+    url = F.concat(F.lit("[View](https://x.example/c/jobs/view/"), F.upper(F.md5("p_name")), F.lit(".md) |"))
+    kind = F.when(F.col("p_size") > 25, F.col("p_type")).otherwise(F.lit("—"))
+    line = F.concat_ws(" | ", F.concat(F.lit("| "), "p_name"), kind, url)
+    body = parts.select(F.col("p_brand").alias("company"), F.col("p_partkey").alias("place"), line.alias("line"))
+    head = F.inline(
+        F.array(
+            F.struct(F.lit(-2).cast("long").alias("place"), F.lit("| title | type | url |").alias("line")),
+            F.struct(F.lit(-1).cast("long").alias("place"), F.lit("|---|---|---|").alias("line")),
+        )
+    )
+    heads = parts.select(F.col("p_brand").alias("company")).distinct().select("company", head)
+    root = _land_lines(body.unionByName(heads), scratch_path(spark, "large-tables"))
+    found = large_markdown_rows(spark, root, ["title", "type", "url"], "url")
+    return found.select("company_slug", "pos", "title", "type", "external_id")
+
+
 @query("""
 SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN c_name END AS name,
        CASE WHEN o_orderstatus <> 'P' THEN c_mktsegment END AS segment

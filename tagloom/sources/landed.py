@@ -79,6 +79,12 @@ def markdown_rows(payloads: DataFrame, columns: Sequence[str], url_column: str)
     lines = payloads.select(
         *kept, F.posexplode(F.split("payload", _LINE_BREAK)).alias("pos", "line")
     )
+    return table_rows(lines, columns, url_column)
+
+
+def table_rows(lines: DataFrame, columns: Sequence[str], url_column: str) -> DataFrame:
+    """``markdown_rows`` of the lines in ``line``; all other columns are kept."""
+    kept = [c for c in lines.columns if c not in ("pos", "line")]
     inner = F.regexp_replace("line", r"^\|+|\|+\z", "")
     cells = F.transform(F.split(inner, r"\|"), strip)
     rows = (
