@@ -74,6 +74,38 @@ def total_count(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("total"))
 
 
+# rows that one task may sort for a page
+PAGE_BOUND = 50_000
+_PARTS = 64
+
+
+def _ordered(values: Sequence, ascending: bool) -> list:
+    """Group values in page order: nulls first when ascending, last otherwise."""
+    known = sorted((v for v in values if v is not None), reverse=not ascending)
+    missing = [v for v in values if v is None]
+    return missing + known if ascending else known + missing
+
+
+def _among(group: Column, values: Sequence) -> Column:
+    known = [v for v in values if v is not None]
+    found = group.isin(known) if known else F.lit(False)
+    return F.coalesce(found, F.lit(False)) | group.isNull() if None in values else found
+
+
+def _text_group(text: str, least: str, most: str) -> Column:
+    """The beginning by which texts differ: what all share and two characters."""
+    shared = 0
+    while shared < min(len(least), len(most)) and least[shared] == most[shared]:
+        shared += 1
+    return F.substring(text, 1, shared + 2)
+
+
+def _number_group(number: Column, least: int, most: int) -> Column:
+    """Which of ``_PARTS`` equal ranges a number falls into."""
+    width = -(-(most - least + 1) // _PARTS)
+    return F.floor((number - F.lit(least)) / F.lit(width)).cast("int")
+
+
 def page(
     rows: DataFrame,
     number: int = 1,
@@ -81,31 +113,58 @@ def page(
     ascending: bool = False,
     by: str = "first_seen_at",
     tie: str = "id",
+    bound: int = PAGE_BOUND,
 ) -> DataFrame:
     """One page in time order, newest first by default; ties by id.
 
-    Rows are counted by day, and only the days that hold the page are numbered, each by
-    itself, so the rows before the page are never sorted and any page is found alike.
+    Rows are counted by day, and the days that hold the page are sorted. Where those have
+    more than ``bound`` rows, they are first narrowed by counts of ever smaller ranges, of the
+    time and then of the id, whose places in the order are known; each round is a job over
+    the two narrow columns. So the rows before the page are never sorted, and no task sorts
+    more than ``bound`` rows, but for rows that share time and id.
     """
-    skip = (max(1, number) - 1) * size
-    time, day = F.col(by), F.col("__day")
+    time, micros = F.col(by), F.unix_micros(by)
     order = [time.asc() if ascending else time.desc(), F.col(tie).asc()]
-    dated = rows.withColumn("__day", F.date_trunc("day", time))
-    earlier = Window.orderBy(day.asc() if ascending else day.desc()).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    counts = dated.groupBy("__day").agg(F.count("*").alias("__n"))
-    # one row per day
-    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-    held = counts.where(
-        (F.col("__before") < skip + size) & (F.col("__before") + F.col("__n") > skip)
-    ).select(day.alias("__held"), "__before")
-    near = dated.join(held, day.eqNullSafe(F.col("__held")))
-    within = F.row_number().over(Window.partitionBy("__day").orderBy(*order))
-    position = F.col("__before") + F.col("__within")
-    numbered = near.withColumn("__within", within)
-    found = numbered.where((position > skip) & (position <= skip + size))
-    return found.select(*rows.columns).orderBy(*order)
+    is_text = dict(rows.dtypes)[tie] == "string"
+
+    def held(near: Column, group: Column, forward: bool, skip: int, size: int) -> list[tuple]:
+        """(rows, places to skip, places to take) of the groups that hold the places, in order."""
+        # a small row per group
+        found = rows.where(near).groupBy(group.alias("g")).agg(F.count("*")).collect()
+        counts, parts, passed = {r[0]: r[1] for r in found}, [], 0
+        for value in _ordered(list(counts), forward):
+            n = counts[value]
+            if passed < skip + size and passed + n > skip:
+                own = max(0, skip - passed)
+                parts.append((value, n, own, min(n, skip + size - passed) - own))
+            passed += n
+        if sum(n for _, n, _, _ in parts) <= bound:
+            values, taken = [p[0] for p in parts], sum(p[3] for p in parts)
+            return [(near & _among(group, values), parts[0][2], taken)] if parts else []
+        out = []
+        for value, n, own, taken in parts:
+            inside = near & _among(group, [value])
+            out += [(inside, own, taken)] if n <= bound or taken == n else narrowed(inside, own, taken)
+        return out
+
+    def narrowed(near: Column, skip: int, size: int) -> list[tuple]:
+        """The places within the rows ``near``, which are too many to be sorted."""
+        known = [F.count("*"), F.count(by), F.min(micros), F.max(micros), F.count(tie), F.min(tie), F.max(tie)]
+        n, timed, first, last, tied, least, most = rows.where(near).agg(*known).first()
+        if timed not in (0, n) or first != last:
+            group = _number_group(micros, first, last)
+            return held(near, group, ascending, skip, size)
+        if tied not in (0, n) or least != most:
+            group = _text_group(tie, least, most) if is_text else _number_group(F.col(tie), least, most)
+            return held(near, group, True, skip, size)
+        return [(near, skip, size)]
+
+    day = F.date_trunc("day", time)
+    found = rows.limit(0)
+    for i, (near, skip, taken) in enumerate(held(F.lit(True), day, ascending, (max(1, number) - 1) * size, size)):
+        part = rows.where(near).orderBy(*order).offset(skip).limit(taken)
+        found = part if i == 0 else found.unionByName(part)
+    return found.orderBy(*order)
 
 
 def _like_literal(text: str) -> str:

@@ -112,23 +112,23 @@ def large_list_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_brand AS company_slug, p_name AS title, CASE WHEN p_size > 25 THEN p_type END AS type,
+SELECT replace(p_brand, '#', '') AS company_slug, p_name AS title, CASE WHEN p_size > 25 THEN p_type END AS type,
        upper(md5(p_name)) AS external_id,
        CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) + 1 AS INTEGER) AS pos FROM part""")
 def large_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pipe table per brand, read line by line."""
-    parts = table(spark, sf_dir, "part")
+    parts, brand = table(spark, sf_dir, "part"), F.replace("p_brand", F.lit("#"), F.lit(""))
     url = F.concat(F.lit("[View](https://x.example/c/jobs/view/"), F.upper(F.md5("p_name")), F.lit(".md) |"))
     kind = F.when(F.col("p_size") > 25, F.col("p_type")).otherwise(F.lit("—"))
     line = F.concat_ws(" | ", F.concat(F.lit("| "), "p_name"), kind, url)
-    body = parts.select(F.col("p_brand").alias("company"), F.col("p_partkey").alias("place"), line.alias("line"))
+    body = parts.select(brand.alias("company"), F.col("p_partkey").alias("place"), line.alias("line"))
     head = F.inline(
         F.array(
             F.struct(F.lit(-2).cast("long").alias("place"), F.lit("| title | type | url |").alias("line")),
             F.struct(F.lit(-1).cast("long").alias("place"), F.lit("|---|---|---|").alias("line")),
         )
     )
-    heads = parts.select(F.col("p_brand").alias("company")).distinct().select("company", head)
+    heads = parts.select(brand.alias("company")).distinct().select("company", head)
     root = _land_lines(body.unionByName(heads), scratch_path(spark, "large-tables"))
     found = large_markdown_rows(spark, root, ["title", "type", "url"], "url")
     return found.select("company_slug", "pos", "title", "type", "external_id")

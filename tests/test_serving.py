@@ -342,3 +342,22 @@ def test_an_empty_filter_flags_every_row(spark, view):
     none = alerts.flag_matches(view, parsed.limit(0))
     assert not any(r.matches_filter for r in none.collect())
     assert alerts.match_filters(view, parsed.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("ids", ["text", "number"])
+@pytest.mark.parametrize("bound", [1, 9, 10_000])
+def test_pages_of_one_day_and_one_time_equal_a_sort(spark, ids, bound):
+    """Bulk loads: many rows of one day, of one time, and without a time; ids that share a beginning."""
+    rng = random.Random(12)
+    at = datetime(2026, 5, 1, 6)
+    times = [*[at] * 40, *[None] * 40, *[at + timedelta(microseconds=rng.randrange(50)) for _ in range(40)], *[at + timedelta(days=d) for d in range(5)]]
+    rows = [(f"same-beginning-{i:03d}" if ids == "text" else i * 7 - 300, t) for i, t in enumerate(times)]
+    rows.append((rows[3][0], at))
+    table = spark.createDataFrame(rows, f"id {'string' if ids == 'text' else 'long'}, first_seen_at timestamp").repartition(4)
+    for ascending in (True, False):
+        sign = 1 if ascending else -1
+        missing = -1 if ascending else 1
+        ordered = sorted(rows, key=lambda r: ((missing, 0) if r[1] is None else (0, sign * (r[1] - at).total_seconds()), r[0]))
+        for number in (1, 4, 11, 40):
+            got = [tuple(r) for r in serving.page(table, number, 8, ascending=ascending, bound=bound).collect()]
+            assert got == ordered[(number - 1) * 8 : number * 8], (ascending, number)
