@@ -222,6 +222,7 @@ def write_version(
     if touched is None:
         touched = touched_buckets(jobs, buckets)
     kept = bucket_folders(spark, root, previous)
+    filled = set()
     if touched:
         (
             jobs.withColumn("bucket", bucket_of(buckets))
@@ -231,7 +232,11 @@ def write_version(
             .partitionBy("bucket", "is_active")
             .parquet(f"{root}/{rows}")
         )
-    folders = {**kept, **{b: f"{rows}/bucket={b}" for b in touched}}
+        written = spark.read.schema(f"{JOBS_SCHEMA}, bucket int").parquet(f"{root}/{rows}")
+        filled = {r.bucket for r in written.select("bucket").distinct().collect()}
+    # a touched bucket that has no rows any more leaves the manifest
+    folders = {b: f for b, f in kept.items() if b not in touched}
+    folders |= {b: f"{rows}/bucket={b}" for b in filled}
     listed = [(buckets, _HEADER, ""), *((buckets, b, f) for b, f in sorted(folders.items()))]
     manifest = spark.createDataFrame(listed, "buckets int, bucket int, folder string")
     manifest.coalesce(1).write.mode("overwrite").json(f"{root}/manifests/version={version}")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.operators import merge, model_input, serving
+from tagloom.operators.summaries import refreshed_summary
 from tagloom.plans.ingest_queries import (
     _POSTINGS_SQL,
     document_companies,
@@ -181,3 +182,45 @@ def ingestion_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     land("20260502T060000", payloads.where("n_chars > 2000"))
     land("20260501T060000", payloads.where("source = 'lever'"))
     return read_log(spark, target).select("run_id", "fetched", "upserted", "deactivated")
+
+
+_CHANGED_SQL = """
+state AS (
+  SELECT doc_id, source, doc_id % 40 AS company, n_chars, lang,
+         n_chars > 200 AND NOT (doc_id % 40 % 4 = 1 AND n_chars <= 1000) AND NOT doc_id % 40 = 7 AS active,
+         CASE WHEN doc_id % 40 % 4 = 2 THEN 'X' ELSE lang END AS tag,
+         CASE WHEN doc_id % 40 % 4 = 2 THEN 'senior' END AS seniority
+  FROM documents),
+kept AS (SELECT * FROM state WHERE active AND lang <> 'es')"""
+
+
+@query(f"""WITH {_CHANGED_SQL}
+SELECT 'rows' AS "group", '' AS value, count(*) AS n FROM kept HAVING count(*) > 0
+UNION ALL SELECT 'remote', '', count(*) FROM kept HAVING count(*) > 0
+UNION ALL SELECT 'company', 'C' || company, count(*) FROM kept GROUP BY ALL
+UNION ALL SELECT 'source', source, count(*) FROM kept WHERE source IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'seniority', seniority, count(*) FROM kept WHERE seniority IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'tag', tag, count(*) FROM kept GROUP BY ALL""")
+def maintained_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts after three versions, brought up to date from the first and the third one."""
+    target = scratch_path(spark, "jobs")
+    company = F.concat(F.lit("C"), F.substring("company_slug", 2, 9))
+    number = F.substring("company_slug", 2, 9).cast("int")
+    none = F.lit(None).cast("string")
+    first = stored_documents(spark, sf_dir).withColumns(
+        {"company": company, "is_qc": ~F.array_contains("tech_stack", "es")}
+    )
+    merge.write_version(first, target, "1")
+    refreshed_summary(spark, target)
+
+    def change(version: str, before: str, chosen: F.Column, changes: dict[str, F.Column]) -> None:
+        touched = merge.touched_buckets(first.where(chosen))
+        rows = merge.read_version(spark, target, before, touched)
+        new = rows.withColumns({c: F.when(chosen, v).otherwise(F.col(c)) for c, v in changes.items()})
+        merge.write_version(new, target, version, before, touched)
+
+    short = F.unix_seconds("first_seen_at") <= 1000
+    change("2", "1", ((number % 4 == 1) & short) | (number == 7), {"is_active": F.lit(False)})
+    change("3", "2", number % 4 == 2, {"tech_stack": F.array(F.lit("X")), "seniority": F.lit("senior"), "department": none})
+    found = refreshed_summary(spark, target)
+    return found.where(F.col("group").isin("rows", "remote", "company", "source", "seniority", "tag"))

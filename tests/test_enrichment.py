@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from test_merge import board, land
 
 from tagloom.operators import merge, model_input
+from tagloom.operators.metrics import kpi_record
+from tagloom.operators.serving import active_view
+from tagloom.operators.summaries import refreshed_summary, summary_record
 from tagloom.streaming.enrichment import request_enrichment, store_answers
 from tagloom.streaming.landing import ingest_landed, read_log
 
@@ -160,3 +163,35 @@ def test_stored_enrichment(spark, tmp_path):
     assert again.count() == 0
     assert store_answers(spark, root, "w2", answers, ts("2026-05-04 00:00:00")).count() == 0
     assert merge.latest_version(spark, root) == latest
+
+
+def test_summary_equals_figures_from_scratch(spark, tmp_path):
+    root, as_of = str(tmp_path / "jobs"), ts("2026-05-02 05:00:00")
+
+    def jobs(version, companies):
+        rows = [
+            (f"{c}{i}", "lever" if i % 3 else "workday", f"{c}{i}", c, c.upper(), i % 4 != version, True, "t",
+             datetime(2026, 5, 1, i % 24), datetime(2026, 5, 1, 6 + version), ["Go", f"v{version}"][: i % 3], [True, False, None][i % 3])
+            for c in companies for i in range(12)
+        ]
+        frame = spark.createDataFrame(
+            rows, "id string, source string, external_id string, company_slug string, company string, is_active boolean, is_qc boolean, "
+            "title string, first_seen_at timestamp, fetched_at timestamp, tech_stack array<string>, is_remote boolean",
+        )
+        return merge.empty_jobs(spark).unionByName(frame, allowMissingColumns=True)
+
+    assert refreshed_summary(spark, root).count() == 0
+    merge.write_version(jobs(0, "abcdefgh"), root, "1")
+    refreshed_summary(spark, root)
+    touched = merge.touched_buckets(jobs(1, "ab"))
+    others = merge.read_version(spark, root, "1", touched).where("company_slug NOT IN ('a', 'b')")
+    merge.write_version(others.unionByName(jobs(1, "ab")), root, "2", "1", touched)
+    # a company leaves with its bucket's last rows
+    gone = merge.touched_buckets(jobs(0, "h"))
+    left = merge.read_version(spark, root, "2", gone).where("company_slug <> 'h'")
+    merge.write_version(left, root, "3", "2", gone)
+    for _ in range(2):
+        counts = refreshed_summary(spark, root)
+        view = active_view(merge.read_version(spark, root, "3"))
+        assert summary_record(counts, as_of).collect() == kpi_record(view, as_of).collect()
+    assert {r.value for r in counts.where("group = 'company'").collect()} == set("ABCDEFG")
