@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.operators.keys import one_per_key, row_id, salted_join
+from tagloom.operators.keys import one_per_key, row_id
 
 KEY = ["source", "external_id", "company_slug"]
 SCOPE = ["source", "company_slug"]
@@ -88,33 +88,44 @@ def merge_snapshot(
     scope (company) with at least one incoming row become inactive; other scopes are
     left alone. Of several incoming rows with one key the greatest by ``newest`` counts.
 
-    By default both sides meet in one full outer join on the key. With
-    ``incoming_is_small`` the stored side is not shuffled as long as Spark finds the
-    incoming side below its broadcast limit; keys are then read a second time.
+    Which stored rows belong to a company of the run is decided on their keys alone; that
+    mark and the incoming rows then meet the stored rows by the key, so wide rows are
+    shuffled once. With ``incoming_is_small`` the stored side is not shuffled as long as
+    Spark finds the incoming side below its broadcast limit; keys are then read a second time.
     """
     daily = _daily_columns(current, incoming, key)
     fresh = one_per_key(incoming.select(*key, *daily), key, newest)
     old = current.select(*key, F.struct(*current.columns).alias("__old"))
     new = fresh.select(*key, F.struct(*daily).alias("__new"))
     # a lookup with one row per company that sent anything
-    scopes = incoming.select(*scope).distinct().withColumn("__in_scope", F.lit(True))
+    scopes = incoming.select(*scope).distinct()
+    within = current.select(*dict.fromkeys([*key, *scope])).join(scopes, list(scope), "left_semi")
+    marks = within.select(*key).distinct().withColumn("__in_scope", F.lit(True))
 
     if incoming_is_small:
         known = old.select(*key).join(new.select(*key), list(key), "left_semi")
-        added = new.join(known, list(key), "left_anti").withColumn(
-            "__old", F.lit(None).cast(old.schema["__old"].dataType)
+        added = new.join(known, list(key), "left_anti").select(
+            *key,
+            F.lit(None).cast(old.schema["__old"].dataType).alias("__old"),
+            F.lit(None).cast("boolean").alias("__in_scope"),
+            "__new",
         )
-        joined = old.join(new, list(key), "left").unionByName(added)
+        flagged = scopes.withColumn("__in_scope", F.lit(True))
+        placed = old.select(*key, "__old", *[F.col(f"__old.{c}").alias(f"__scope_{c}") for c in scope])
+        same = [F.col(f"__scope_{c}") == F.col(f"__of_{c}") for c in scope]
+        flagged = flagged.select(*[F.col(c).alias(f"__of_{c}") for c in scope], "__in_scope")
+        joined = placed.join(flagged, same, "left").select(*key, "__old", "__in_scope")
+        joined = joined.join(new, list(key), "left").unionByName(added)
     else:
-        joined = old.join(new, list(key), "full_outer")
+        # the left join keeps the partitioning by key that the full join needs
+        joined = old.join(marks, list(key), "left").join(new, list(key), "full_outer")
 
-    marked = salted_join(joined, scopes, scope, spread=key)
     closed = (
         F.col("__new").isNull()
         & F.coalesce(F.col("__old.is_active"), F.lit(False))
         & F.coalesce(F.col("__in_scope"), F.lit(False))
     )
-    return marked.select(*_merged_columns(current, daily, key, as_of, closed))
+    return joined.select(*_merged_columns(current, daily, key, as_of, closed))
 
 
 def run_summary(merged: DataFrame, extracted: DataFrame) -> DataFrame:

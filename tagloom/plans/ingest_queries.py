@@ -452,6 +452,56 @@ def snapshot_merge_small_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged_text(_merged(spark, sf_dir, small=True))
 
 
+_SHARED_SQL = f"""
+cur AS (
+  SELECT o_orderpriority AS source, CAST(o_orderkey % 211 AS VARCHAR) AS external_id,
+         CAST(o_custkey % 13 AS VARCHAR) AS company_slug, min(o_orderdate) AS seen,
+         min(o_orderstatus) <> 'F' AS active, max(o_totalprice) AS price
+  FROM orders WHERE o_orderdate < TIMESTAMP '{_CUT}' GROUP BY ALL),
+inc AS (
+  SELECT o_orderpriority AS source, CAST(o_orderkey % 211 AS VARCHAR) AS external_id,
+         CAST(o_custkey % 13 AS VARCHAR) AS company_slug, max(o_totalprice) AS price
+  FROM orders WHERE o_orderdate >= TIMESTAMP '{_CUT}' AND o_orderpriority <> '2-HIGH' AND o_custkey % 13 < 9
+  GROUP BY ALL)"""
+
+
+@query(f"""WITH {_SHARED_SQL}
+SELECT source, external_id, company_slug, CAST(coalesce(i.price, c.price) * 100 AS BIGINT) AS cents,
+       strftime(coalesce(c.seen, TIMESTAMP '{_RUN_AT}'), '%Y-%m-%d %H:%M:%S') AS first_seen_at,
+       strftime(CASE WHEN i.price IS NULL THEN c.seen ELSE TIMESTAMP '{_RUN_AT}' END, '%Y-%m-%d %H:%M:%S')
+         AS fetched_at,
+       CASE WHEN c.price IS NULL THEN sha256(source || chr(1) || external_id || chr(1) || company_slug)
+            ELSE 'old ' || external_id END AS id,
+       CASE WHEN c.price IS NULL THEN 'inserted' WHEN i.price IS NOT NULL THEN 'updated'
+            WHEN c.active AND EXISTS (SELECT 1 FROM inc s WHERE s.source = c.source
+                                      AND s.company_slug = c.company_slug) THEN 'deactivated'
+            ELSE 'unchanged' END AS change_type
+FROM cur c FULL JOIN inc i USING (source, external_id, company_slug)""")
+def snapshot_merge_shared_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merge in which one id stands in several companies and one company in several sources."""
+    orders, cut = table(spark, sf_dir, "orders"), F.lit(_CUT).cast("timestamp")
+    keyed = orders.select(
+        F.col("o_orderpriority").alias("source"),
+        (F.col("o_orderkey") % 211).cast("string").alias("external_id"),
+        (F.col("o_custkey") % 13).cast("string").alias("company_slug"),
+        "o_orderdate", "o_orderstatus", F.col("o_totalprice").alias("price"), "o_custkey",
+    )
+    stored = keyed.where(F.col("o_orderdate") < cut).groupBy(*_KEY).agg(
+        F.concat(F.lit("old "), "external_id").alias("id"),
+        F.max("price").alias("price"),
+        F.min("o_orderdate").alias("first_seen_at"),
+        F.min("o_orderdate").alias("fetched_at"),
+        (F.min("o_orderstatus") != "F").alias("is_active"),
+    )
+    run = keyed.where((F.col("o_orderdate") >= cut) & (F.col("source") != "2-HIGH") & (F.col("o_custkey") % 13 < 9))
+    merged = merge.merge_snapshot(stored, run.select(*_KEY, "price"), F.lit(_RUN_AT).cast("timestamp"))
+    return merged.select(
+        *_KEY, F.round(F.col("price") * 100).cast("long").alias("cents"),
+        time_text("first_seen_at").alias("first_seen_at"), time_text("fetched_at").alias("fetched_at"),
+        "id", "change_type",
+    )
+
+
 @query(f"""WITH {_MERGE_SQL}
 SELECT (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey
         WHERE o_orderstatus <> 'F' AND l_returnflag = 'N') AS fetched,
