@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.operators import alerts, metrics, serving
+from tagloom.operators import alerts, metrics, serving, tag_index
 from tagloom.plans import presets
 from tagloom.plans.registry import query
 from tagloom.plans.tables import (
@@ -19,6 +19,7 @@ from tagloom.plans.tables import (
     time_text,
     view,
 )
+from tagloom.session import scratch_path
 
 _LISTED = ["id", "source", "is_remote", "seniority"]
 _LISTED_SQL = """id, source, is_remote, seniority, array_to_string(tech_stack, ',') AS tags,
@@ -46,6 +47,28 @@ def filter_all_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(rows.where(serving.has_all_tags(F.col("tech_stack"), wanted)))
 
 
+@query(
+    f"WITH {VIEW_SQL} SELECT {_LISTED_SQL} FROM view "
+    "WHERE list_has_all(tech_stack, ['Brand#1', 'Brand#2'])"
+)
+def indexed_filter_all_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``filter_all_tags`` over a stored bitmap index."""
+    root = scratch_path(spark, "tag-index")
+    tag_index.write_tag_index(view(spark, sf_dir), root)
+    return _listed(tag_index.rows_with_all_tags(spark, root, ["Brand#1", "Brand#2"]))
+
+
+@query(
+    f"WITH {VIEW_SQL} SELECT count(*) AS total FROM view "
+    "WHERE list_has_all(tech_stack, ['Brand#3', 'Brand#4', 'Brand#5'])"
+)
+def indexed_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows have all of three tags, from bitmaps alone."""
+    root = scratch_path(spark, "tag-index")
+    tag_index.write_tag_index(view(spark, sf_dir), root)
+    return tag_index.count_with_all_tags(spark, root, ["Brand#3", "Brand#4", "Brand#5"])
+
+
 @query(
     f"WITH {VIEW_SQL} SELECT {_LISTED_SQL} FROM view "
     "WHERE source = '2-HIGH' AND seniority = 'senior'"

@@ -1,13 +1,14 @@
 """View, filters, pages, search, facets, headline figures, saved filters."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
 from helpers import as_rows, ts
 from pyspark.sql import functions as F
 
-from tagloom.operators import alerts, metrics, serving
+from tagloom.operators import alerts, metrics, serving, tag_index
 from tagloom.plans import presets
 
 NOW = datetime(2026, 5, 10, 12)
@@ -361,3 +362,28 @@ def test_pages_of_one_day_and_one_time_equal_a_sort(spark, ids, bound):
         for number in (1, 4, 11, 40):
             got = [tuple(r) for r in serving.page(table, number, 8, ascending=ascending, bound=bound).collect()]
             assert got == ordered[(number - 1) * 8 : number * 8], (ascending, number)
+
+
+def test_tag_index_equals_the_filter(spark, tmp_path):
+    rng = random.Random(15)
+    names = ["C++", "C#", "a/b", "2024", "é", "Go"]
+    rows = [(str(i), rng.choice([None, [], rng.sample(names, 2), rng.sample(names, 5), ["Go", "Go", None]])) for i in range(300)]
+    table = spark.createDataFrame(rows, "id string, tech_stack array<string>").repartition(3)
+    root = str(tmp_path / "index")
+    tag_index.write_tag_index(table, root)
+    for tags in (["C++"], ["C#", "Go"], ["a/b", "2024", "é"], ["Go", "Go"], ["go"], ["C++", "none"], []):
+        want = sorted(i for i, have in rows if set(tags) <= set(have or []))
+        found = tag_index.rows_with_all_tags(spark, root, tags)
+        assert found.columns == table.columns
+        assert sorted(r.id for r in found.collect()) == want
+        if tags:
+            assert tag_index.count_with_all_tags(spark, root, tags).first().total == len(want)
+    plan = tag_index._common(spark, root, ["C++"])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*tag#\d+ = C", plan)
+
+
+def test_tag_index_of_nothing(spark, tmp_path):
+    table = spark.createDataFrame([], "id string, tech_stack array<string>")
+    tag_index.write_tag_index(table, str(tmp_path / "index"))
+    assert tag_index.rows_with_all_tags(spark, str(tmp_path / "index"), ["Go"]).count() == 0
+    assert tag_index.count_with_all_tags(spark, str(tmp_path / "index"), ["Go"]).first().total == 0
