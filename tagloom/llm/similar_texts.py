@@ -207,8 +207,9 @@ def candidates(classes: DataFrame) -> DataFrame:
 def hooked(links: DataFrame) -> DataFrame:
     """Links (a, b) that connect the same nodes: each a with its least b, and its other bs with that one.
 
-    A member meets at most one star a key, so its list is bounded by the keys that it emits. Of a
-    group of many members the seeds are few, so about one link a member is left.
+    A member meets at most one star a key, or a tile pair, so its list is bounded by the keys that it
+    emits, or by the tiles of its block. Of a group of many members the seeds are few, so about one
+    link a member is left.
     """
     lists = links.groupBy("a").agg(F.sort_array(F.collect_set("b")).alias("seeds"))
     lists = lists.withColumn("least", F.get("seeds", F.lit(0)))
@@ -305,7 +306,7 @@ def similar(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame
     chosen = saved(chosen, "chosen")
     members = wanted_sets(given.select("row", "text"), chosen).join(chosen, "row")
     members = members.select("block", "class", "hashes").dropDuplicates(["class"])
-    roots = components(verified(members)).select(F.col("u").alias("class"), F.col("v").alias("root"))
+    roots = components(hooked(verified(members))).select(F.col("u").alias("class"), F.col("v").alias("root"))
     rooted = classes.select("class", "least").join(roots, "class", "left")
     rooted = rooted.select("class", "least", F.coalesce("root", "class").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
