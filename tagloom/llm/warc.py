@@ -290,6 +290,7 @@ def read(captures: DataFrame, folder: str) -> DataFrame:
             if rows:
                 yield _batch(rows, RECORD)
 
-    part = F.floor(F.col("offset") / (64 << 20))
-    dealt = captures.select("file", "offset", "length").repartition("file", part)
+    # captures are tiny rows that stand for large ranges, so their own bytes must not decide on the partitions
+    part, n = F.floor(F.col("offset") / (16 << 20)), captures.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    dealt = captures.select("file", "offset", "length").repartition(int(n), "file", part)
     return dealt.sortWithinPartitions("file", "offset").mapInArrow(records, RECORD)
