@@ -34,7 +34,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -443,11 +443,15 @@ def covered_runs(texts: DataFrame, doc: str, text: str, shards: int, crowded: in
     cut = cut.mapInArrow(partial(fragment_rows, **at), "shard long, fragments binary")
     cut = cut.repartition("shard").sortWithinPartitions("shard")
     kind = "doc_id long, start int, end int, string binary"
-    found = cut.mapInArrow(partial(covered_rows, crowded=crowded), kind)
-    # strings of crowded shards meet by themselves; all other rows only pass through, spread by document
-    met = Window.partitionBy(F.coalesce("string", F.col("doc_id").cast("string").cast("binary")), F.col("end").isNull())
-    end = F.when(F.col("end").isNotNull(), F.col("end")).when(F.col("least") < F.col("doc_id"), F.col("start") + LENGTH)
-    found = found.withColumn("least", F.min("doc_id").over(met)).withColumn("end", end).where("end IS NOT NULL")
+    # read twice below: stored, so that the suffix arrays are built once
+    found = saved(cut.mapInArrow(partial(covered_rows, crowded=crowded), kind), "covered")
+    # strings of crowded shards: the least document of each is found before a shuffle, and a hot string's rows
+    # meet it in a join that Spark can split
+    strings = found.where("end IS NULL")
+    least = strings.groupBy("string").agg(F.min("doc_id").alias("least"))
+    more = strings.join(least, "string").where(F.col("least") < F.col("doc_id"))
+    more = more.select("doc_id", "start", (F.col("start") + LENGTH).alias("end"))
+    found = found.where("end IS NOT NULL").select("doc_id", "start", "end").unionByName(more)
     runs = F.collect_list(F.shiftleft(F.col("start").cast("long"), 32) + F.col("end"))
     return found.groupBy(F.col("doc_id").alias(doc)).agg(runs.alias("__runs"))
 
