@@ -107,6 +107,21 @@ def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+ORACLES["op3_warc_index"] = r"""
+WITH payloads AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+digests AS (SELECT *, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS original FROM payloads),
+lettered AS (
+    -- base 32: five hex digits are four letters
+    SELECT *, array_to_string(flatten(list_transform(range(8), lambda i: list_transform([15, 10, 5, 0], lambda s:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, i * 5 + 1, 5))::BIGINT >> s) & 31) + 1, 1)))), '') AS digest
+    FROM digests)
+SELECT page_id, url, strlen(html)::BIGINT AS payload_bytes, digest AS payload_digest,
+    CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> original THEN original END AS refers_to
+FROM lettered
+"""
+
+
 @query
 def op4_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
@@ -184,6 +199,41 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORACLES["op10_contamination"] = r"""
+WITH texts AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+    FROM documents),
+asked AS (
+    SELECT item_id::VARCHAR AS item, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+    FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+windows AS (
+    SELECT item, least(len(w), 13) AS size, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1),
+        lambda i: array_to_string(list_slice(w, i, i + 12), ' '))) AS part
+    FROM asked WHERE len(w) > 0),
+places AS (
+    SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS place
+    FROM texts, (SELECT DISTINCT size FROM windows)),
+hits AS (
+    SELECT DISTINCT doc_id, place, p.size, item
+    FROM places p JOIN windows x ON x.size = p.size
+        AND x.part = array_to_string(list_slice(p.w, p.place, p.place + p.size - 1), ' ')),
+covered AS (
+    SELECT doc_id, count(DISTINCT spot) AS n_hit
+    FROM (SELECT doc_id, unnest(range(place, place + size)) AS spot FROM hits) GROUP BY doc_id),
+found AS (
+    SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+    FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    coalesce(items_sha256, sha256('')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM texts LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
 @query
 def op11_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's digest against that of its edited text and that of the next document."""
