@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +40,31 @@ def pick_categories(
     return list(dict.fromkeys([*wanted, *defaults]))[:k]
 
 
+def segment_categories(
+    name: str | None,
+    text: str | None,
+    known: Sequence[str],
+    by_segment: Mapping[str, Sequence[str]],
+    defaults: Sequence[str],
+    k: int = 4,
+) -> list[str]:
+    """The asked categories, filled up from those of the segment, or from the general ones."""
+    return pick_categories(text, known, by_segment.get(name or "", defaults), k)
+
+
+def segment_leaders(
+    rows: DataFrame,
+    categories: DataFrame,
+    rules: Sequence,
+    name: str | None,
+    chosen: Sequence[str],
+    k: int = 8,
+) -> DataFrame:
+    """First ``k`` tags of each chosen category among the rows of a segment, ranked among all its tags."""
+    frequency = tag_frequency(in_segment(rows, rules, name), categories)
+    return top_per_category(frequency, chosen, k)
+
+
 def tag_counts(rows: DataFrame, column: str = "tech_stack") -> DataFrame:
     return (
         rows.select(F.explode(column).alias("tag")).groupBy("tag").agg(F.count("*").alias("count"))

@@ -123,6 +123,31 @@ def radar_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Categories shown first for a segment of the benchmark's tags; the third one has none of its own.
+_SEGMENT_GROUPS = {"starter": ["alpha", "gamma"], "broad": ["delta", "beta"]}
+
+
+@query(f"""WITH {VIEW_SQL},
+s AS (SELECT *, {SEGMENT_SQL} AS segment FROM view),
+f AS (SELECT segment, tag, count(*) AS count FROM (SELECT segment, unnest(tech_stack) AS tag FROM s) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY count DESC, tag) AS rank, {CATEGORY_SQL} AS category
+      FROM f),
+t AS (SELECT *, row_number() OVER (PARTITION BY segment, category ORDER BY rank) AS position FROM r
+      WHERE (segment = 'starter' AND category IN ('alpha', 'gamma')) OR (segment = 'broad' AND category IN ('gamma', 'delta'))
+         OR (segment = 'paired' AND category IN ('beta', 'gamma')))
+SELECT segment, category, position, tag, count, rank FROM t WHERE position <= 3""")
+def segment_radar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leading tags of each segment in its own categories; one segment asks for another one."""
+    rows, categories, known = view(spark, sf_dir), brand_categories(spark), list(BRAND_GROUPS)
+    parts = None
+    for name, asked in (("starter", None), ("broad", "Gamma"), ("paired", "none")):
+        chosen = trends.segment_categories(name, asked, known, _SEGMENT_GROUPS, ["beta", "gamma"], k=2)
+        part = trends.segment_leaders(rows, categories, BRAND_SEGMENTS, name, chosen, k=3)
+        part = part.select(F.lit(name).alias("segment"), "category", "position", "tag", "count", "rank")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
 @query(f"""WITH {PARTNERS_SQL}
 SELECT 'top' AS part, rank AS position, tag, count FROM frequency WHERE rank <= 8
 UNION ALL SELECT 'partner', position, partner, count FROM partners

@@ -300,6 +300,17 @@ def test_values_helper_keeps_order(spark):
     assert values(spark, F.col("a"), [3, 1, 2], "a int") == [3, 1, 2]
 
 
+def test_segments_bring_their_own_categories():
+    known = sorted({c for listed in presets.SEGMENT_CATEGORIES.values() for c in listed} | set(presets.DEFAULT_CATEGORIES))
+
+    def chosen(name, text=None):
+        return trends.segment_categories(name, text, known, presets.SEGMENT_CATEGORIES, presets.DEFAULT_CATEGORIES)
+
+    assert chosen("mobile") == ["mobile", "languages", "frontend", "backend"]
+    assert chosen("ai_ml", "Cloud,none") == ["cloud", "data", "ai_concepts", "languages"]
+    assert chosen(None) == chosen("other") == ["languages", "frontend", "devops", "data"]
+
+
 def test_count_ranks_start_no_job_and_equal_a_sort(spark):
     rng = random.Random(4)
     names = {"".join(rng.choice("ab+é") for _ in range(rng.randint(0, 12))) for _ in range(400)}
