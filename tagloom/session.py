@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +30,21 @@ def local_session(cores: int | str = "*", app: str = "tagloom") -> SparkSession:
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session; they may not see the driver's folders."""
+    context = spark.sparkContext
+    if getattr(context, "_tagloom_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="tagloom-")) / "tagloom.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        for source in sorted(package.rglob("*.py")):
+            packed.write(source, Path(package.name) / source.relative_to(package))
+    # Spark itself serves the file to executors, also to those that join later
+    context.addPyFile(str(archive))
+    context._tagloom_shipped = True
+
+
 def small_table(spark: SparkSession, rows: Sequence[tuple], columns: Sequence[str]) -> DataFrame:
     """A fixed list of values as a table whose size the optimiser knows."""
 
