@@ -71,6 +71,7 @@ class _Finder:
     """
 
     def __init__(self, dictionary: Sequence[Keyword]):
+        self.dictionary = list(dictionary)
         self.lead = {entry: patterns.lead_words(entry.anchored) for entry in dictionary}
         words = [w for found in self.lead.values() for w in found or []]
         self.whole = sorted({w.text for w in words if w.whole})
@@ -79,6 +80,32 @@ class _Finder:
         known = F.array(*[F.lit(w) for w in self.whole]).cast("array<string>")
         return F.array_intersect(F.split(folded, "[^a-z0-9]+"), known)
 
+    def entries(self, folded: str) -> Column:
+        """Places in the dictionary, ascending, of the entries whose regex is worth a try on a text.
+
+        One look-up for each distinct lead word of the text; an entry with a lead word that
+        may go on is tried where the text holds it, one without lead words always.
+        """
+        by_word: dict[str, list[int]] = {}
+        others = []
+        for place, found in enumerate(map(self.lead.get, self.dictionary)):
+            open_ended = [w for w in found or [] if not w.whole]
+            for word in found or []:
+                if word.whole:
+                    by_word.setdefault(word.text, []).append(place)
+            if found is None:
+                others.append(str(place))
+            elif open_ended:
+                held = " OR ".join(f"contains({folded}, {patterns.sql_text(w.text)})" for w in open_ended)
+                others.append(f"CASE WHEN {held} THEN {place} END")
+        pairs = ", ".join(f"{patterns.sql_text(w)}, array({', '.join(map(str, at))})" for w, at in by_word.items())
+        tried = f"array_compact(CAST(array({', '.join(others)}) AS array<int>))"
+        if by_word:
+            known = f"map({pairs})"
+            words = f"array_intersect(split({folded}, '[^a-z0-9]+'), map_keys({known}))"
+            tried = f"concat(flatten(transform({words}, w -> {known}[w])), {tried})"
+        return F.expr(f"array_sort(array_distinct({tried}))")
+
     def test(self, entry: Keyword, text: str, folded: str, words: str) -> str:
         regex = patterns.matches_sql(text, entry.anchored, ignore_case=not entry.case_sensitive)
         if self.lead[entry] is None:
@@ -115,14 +142,15 @@ def with_keyword_tags(
     finder = _Finder(dictionary)
     cleaned = df.withColumn("__text", F.concat_ws(" ", *parts))
     cleaned = cleaned.withColumn("__folded", _folded(F.col("__text")))
-    cleaned = cleaned.withColumn("__words", finder.words(F.col("__folded")))
-    hits = ", ".join(
-        f"CASE WHEN {finder.test(entry, '__text', '__folded', '__words')} "
-        f"THEN {patterns.sql_text(entry.tag)} END"
-        for entry in dictionary
-    )
-    tags = F.expr(f"array_compact(CAST(array({hits}) AS array<string>))")
-    return cleaned.withColumn(out, tags).drop("__text", "__folded", "__words")
+    cleaned = cleaned.withColumn("__entries", finder.entries("__folded"))
+    regexes = [patterns.java_regex(e.anchored, ignore_case=not e.case_sensitive) for e in dictionary]
+    listed = {
+        name: f"array({', '.join(map(patterns.sql_text, values))})"
+        for name, values in (("regexes", regexes), ("tags", [e.tag for e in dictionary]))
+    }
+    found = f"filter(__entries, i -> rlike(__text, {listed['regexes']}[i]))" if dictionary else "__entries"
+    tags = F.expr(f"CAST(transform({found}, i -> {listed['tags']}[i]) AS array<string>)")
+    return cleaned.withColumn(out, tags).drop("__text", "__folded", "__entries")
 
 
 def _evidence(finder: _Finder, entry: Keyword, fields: Sequence[str], context: int) -> str:
