@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 from tagloom.session import small_table
 
 
-def board_state(
+def board_fold(
     actions: DataFrame,
     key: Sequence[str] = ("user_id", "job_id"),
     order: Sequence[str] = ("ts", "seq"),
     first_column: str = "watching",
 ) -> DataFrame:
-    """Present entries: key, ``column`` and ``saved_at``.
+    """Key, ``present``, ``column`` and ``saved_at`` of every entry that has an action.
 
-    A save puts the row into the first column, a move after it changes the column and a
-    remove drops the entry. Each entry needs only its last action of each kind, so the
-    log is reduced before the shuffle and no entry's history is gathered.
+    Each entry needs only its last action of each kind, so the log is reduced before the
+    shuffle and no entry's history is gathered. Over a stream the same aggregate is the
+    state that is kept; actions may come late, since the order is that of their times.
     """
     at = F.struct(*order)
 
@@ -36,13 +36,28 @@ def board_state(
         F.col("removed").isNull() | (F.col("saved") > F.col("removed"))
     )
     moved_after = F.col("moved").isNotNull() & (F.col("moved.at") > F.col("saved"))
-    return folded.where(present).select(
+    return folded.select(
         *key,
+        present.alias("present"),
         F.when(moved_after, F.col("moved.column")).otherwise(F.lit(first_column)).alias("column"),
         F.col(f"saved.{order[0]}").alias("saved_at"),
     )
 
 
+def board_state(
+    actions: DataFrame,
+    key: Sequence[str] = ("user_id", "job_id"),
+    order: Sequence[str] = ("ts", "seq"),
+    first_column: str = "watching",
+) -> DataFrame:
+    """Present entries: key, ``column`` and ``saved_at``.
+
+    A save puts the row into the first column, a move after it changes the column and a
+    remove drops the entry.
+    """
+    return board_fold(actions, key, order, first_column).where("present").drop("present")
+
+
 def latest_action(
     actions: DataFrame, key: Sequence[str], order: Sequence[str], values: Sequence[str]
 ) -> DataFrame:

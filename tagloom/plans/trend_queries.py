@@ -23,6 +23,8 @@ from tagloom.plans.tables import (
     time_text,
     view,
 )
+from tagloom.session import scratch_path
+from tagloom.streaming.board import follow_board, read_board
 
 CHOSEN = trends.pick_categories("gamma, nothing,alpha", list(BRAND_GROUPS), ["beta", "gamma"], k=3)
 
@@ -219,6 +221,20 @@ def board_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.withColumn("saved_at", time_text("saved_at"))
 
 
+@query(f"""WITH {_STATE_SQL}
+SELECT user_id, job_id, col AS "column", strftime(saved_at, '%Y-%m-%d %H:%M:%S') AS saved_at
+FROM state""")
+def board_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The board followed as a stream: the actions land in three parts, later times first."""
+    source, target, state = (scratch_path(spark, n) for n in ("actions", "board", "stream"))
+    actions = _actions(spark, sf_dir)
+    for part in (2, 0, 1):
+        landed = actions.where(F.pmod(F.xxhash64("seq"), F.lit(3)) == part)
+        landed.coalesce(1).write.mode("append").parquet(source)
+        follow_board(spark, source, actions.schema, target, state).awaitTermination()
+    return read_board(spark, target).withColumn("saved_at", time_text("saved_at"))
+
+
 @query(f"""WITH {_STATE_SQL}
 SELECT user_id, job_id, col AS "column", strftime(saved_at, '%Y-%m-%d %H:%M:%S') AS saved_at
 FROM state ORDER BY state.saved_at DESC, user_id, job_id""")
