@@ -231,3 +231,28 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], [*names, text])
 
     return df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{ids}`").alias("__source")).mapInArrow(run, schema)
+
+
+def round_trip(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``decode(encode(df))`` in one pass, so that a task has one Python worker and one vocabulary.
+
+    ``df`` with the ids of ``text`` and the text of those ids, each in place of a column of its name.
+    """
+    names = [c for c in df.columns if c not in (ids, decoded)]
+    made = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())]
+    schema = T.StructType([df.schema[c] for c in names] + made)
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(vocabulary)
+        for batch in slices(batches):
+            parts = [bpe.encode(t) if t else b"" for t in batch.column(len(names)).to_pylist()]
+            ends = np.cumsum([0, *[len(p) // 4 for p in parts]], dtype=np.int64).astype(np.int32)
+            listed = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(parts), "<i4")))
+            texts = pa.array([bpe.decode(np.frombuffer(p, "<i4").tolist()) for p in parts], pa.string())
+            columns = [batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, listed, texts], schema.names)
+        bpe.forget()
+
+    given = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__source"))
+    return given.mapInArrow(run, schema)

@@ -77,6 +77,10 @@ def test_rank_bpe_equals_the_library(docs, none, rows):
         want.append((doc, tuple(ids), library.decode(ids, skip_special_tokens=False)))
     assert multiset((r.doc_id, tuple(r.ids), r.decoded) for r in coded.collect()) == multiset(want)
     assert rank_bpe.encode(none, BYTE_BPE).count() == 0
+    once = rank_bpe.round_trip(docs, BYTE_BPE)
+    assert once.columns == coded.columns
+    assert multiset((r.doc_id, tuple(r.ids), r.decoded) for r in once.collect()) == multiset(want)
+    assert rank_bpe.round_trip(none, BYTE_BPE, decoded="text").count() == 0
 
 
 def test_rank_bpe_on_random_characters():
