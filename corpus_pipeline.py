@@ -82,10 +82,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Columns of ``docs`` named ``ids`` or ``n_tokens`` give way to these.
     """
-    def coded(d: DataFrame) -> DataFrame:
-        return rank_bpe.decode(rank_bpe.encode(d, BYTE_BPE).drop("text"), BYTE_BPE, text="text")
-
-    found = _operated(docs, coded, ["doc_id", "text"])
+    found = _operated(docs, lambda d: rank_bpe.round_trip(d, BYTE_BPE, decoded="text"), ["doc_id", "text"])
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_tokens", "ids")]
     return found.select(
         "doc_id", "text", *[F.col(f"`__in_{c}`").alias(c) for c in rest], F.size("ids").cast("long").alias("n_tokens"), "ids"
