@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from tagloom.llm.common import lean, slices
 
 SCAN_PARTS = 100
-CACHED_WORDS = 150_000
+CACHED_WORDS = 80_000
 CACHED_CHARS = 48
 NO_RANK = 1 << 60
 
@@ -148,7 +148,9 @@ class RankBpe:
         return np.array(self.merge(piece.encode()), "<i4").tobytes()
 
     def _first(self, word: str) -> bytes:
-        return b"".join([self.piece[p] for p in self.split.findall(word)])
+        pieces = self.split.findall(word)
+        # a word of one piece is kept once, by its caller
+        return self._piece(pieces[0]) if len(pieces) == 1 else b"".join([self.piece[p] for p in pieces])
 
     def _later(self, word: str) -> bytes:
         if not word or word[0].isspace():
