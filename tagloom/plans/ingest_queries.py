@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import coerce
 from tagloom.operators import enrich, merge, serving
+from tagloom.operators.keys import spread_scan
 from tagloom.plans import postings
 from tagloom.plans.registry import query
 from tagloom.plans.serving_queries import document_jobs
@@ -62,9 +63,9 @@ def markdown_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("| too | few |"),
         F.lit("| only | dashes | - | here |"),
     ]
-    payloads = table(spark, sf_dir, "part").select(
-        "p_partkey", F.concat_ws("\n", *lines).alias("payload")
-    )
+    # parts are small rows in one split of a file, but reading their documents is heavy
+    parts = spread_scan(table(spark, sf_dir, "part"), ["p_partkey"])
+    payloads = parts.select("p_partkey", F.concat_ws("\n", *lines).alias("payload"))
     rows = landed.markdown_rows(payloads, ["title", "department", "location", "url"], "url")
     return rows.drop("pos", "url")
 

@@ -201,3 +201,13 @@ def test_documents_from_files(spark, tmp_path):
     [row] = frame.collect()
     assert (row.source, row.company_slug, row.kind) == ("lever", "bolt", "list")
     assert landed.json_items(frame, None).count() == 1
+
+
+def test_table_rows_of_one_split_are_read_by_many_tasks(spark):
+    from __spark_entry__ import queries
+
+    rows = queries()["markdown_table_rows"](spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    # the parts are dealt out before their documents are cut into lines
+    assert "Generate" in plan.split("hashpartitioning(p_partkey", 1)[0]
+    assert "Exchange hashpartitioning(p_partkey" in plan
