@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.rules import segment
 from tagloom.operators import board, metrics, trends
+from tagloom.operators.keys import spread_scan
 from tagloom.plans.registry import query
 from tagloom.plans.tables import (
     AS_OF,
@@ -172,8 +173,13 @@ _ACTIONS = {"view": "move", "click": "save", "purchase": "move", "signup": "save
 _COLUMN = {"view": "applied", "purchase": "interviewing"}
 
 
-def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event is an action of its user on the row its payload number points to."""
+def _actions(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Each event is an action of its user on the row its payload number points to.
+
+    With ``spread`` a log of few splits is dealt out over the cores.
+    """
+    events = table(spark, sf_dir, "events")
+    events = spread_scan(events, ["event_id"]) if spread else events
 
     def mapped(values: dict[str, str]):
         result = F.lit(None).cast("string")
@@ -181,7 +187,7 @@ def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
             result = F.when(F.col("event_type") == key, F.lit(value)).otherwise(result)
         return result
 
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "user_id",
         F.get_json_object("props", "$.k").cast("int").alias("job_id"),
         mapped(_ACTIONS).alias("action"),
@@ -227,11 +233,12 @@ FROM state""")
 def board_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The board followed as a stream: the actions land in three parts, later times first."""
     source, target, state = (scratch_path(spark, n) for n in ("actions", "board", "stream"))
-    actions = _actions(spark, sf_dir)
+    actions = _actions(spark, sf_dir, spread=True)
     for part in (2, 0, 1):
         landed = actions.where(F.pmod(F.xxhash64("seq"), F.lit(3)) == part)
-        landed.coalesce(1).write.mode("append").parquet(source)
-        follow_board(spark, source, actions.schema, target, state).awaitTermination()
+        # many tasks write and read a part, and a batch takes in its files together
+        landed.write.mode("append").parquet(source)
+        follow_board(spark, source, actions.schema, target, state, files_a_batch=1000).awaitTermination()
     return read_board(spark, target).withColumn("saved_at", time_text("saved_at"))
 
 

@@ -325,3 +325,26 @@ def test_count_ranks_start_no_job_and_equal_a_sort(spark):
     want = [(*r, i, len(rows)) for i, r in enumerate(sorted(rows, key=key), 1)]
     assert sorted(map(tuple, ranked.collect()), key=lambda r: r[2]) == want
     assert count_ranks(frame.limit(0), "tag").count() == 0
+
+
+def test_board_stream_lands_and_takes_in_many_files(spark, monkeypatch):
+    from __spark_entry__ import queries
+    from tagloom.plans import trend_queries
+
+    seen, follow = [], trend_queries.follow_board
+
+    def counted(spark, source, schema, target, *rest, **named):
+        seen.append(len(spark.read.schema(schema).parquet(source).inputFiles()))
+        running = follow(spark, source, schema, target, *rest, **named)
+        running.awaitTermination()
+        batches.append(spark.read.parquet(target).select("batch").distinct().count())
+        return running
+
+    batches = []
+    monkeypatch.setattr(trend_queries, "follow_board", counted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        queries()["board_stream"](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert seen[0] > 1 and batches == [1, 2, 3]
