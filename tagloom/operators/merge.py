@@ -241,7 +241,7 @@ def write_version(
             .sortWithinPartitions("bucket", "is_active", "first_seen_at")
             .write.mode("overwrite")
             .partitionBy("bucket", "is_active")
-            .parquet(f"{root}/{rows}")
+            .parquet(f"{root}/{rows}", compression="zstd")
         )
         written = spark.read.schema(f"{JOBS_SCHEMA}, bucket int").parquet(f"{root}/{rows}")
         filled = {r.bucket for r in written.select("bucket").distinct().collect()}

@@ -596,7 +596,8 @@ def incremental_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     payloads = document_payloads(spark, sf_dir)
     runs = {"20260501T060000": payloads, "20260502T060000": payloads.where("n_chars > 2000")}
     for run_id, rows in runs.items():
-        rows.drop("n_chars").write.partitionBy("source", "kind").json(f"{landing}/run_id={run_id}")
+        landed_run = rows.drop("n_chars").write.partitionBy("source", "kind")
+        landed_run.json(f"{landing}/run_id={run_id}", compression="gzip")
     companies = document_companies(spark, sf_dir)
     ingest_landed(spark, landing, companies, target, scratch_path(spark, "stream")).awaitTermination()
     stored = merge.read_version(spark, target, merge.latest_version(spark, target))

@@ -99,7 +99,8 @@ def ingest_landed(
         counts = [F.count_if(F.col("run_id") == r).alias(r) for r in runs]
         # the rules run once for all runs of the batch; each merge reads the folder of its run
         rows = scratch_path(spark, "run-rows")
-        in_region(extracted.observe(fetched, *counts)).write.partitionBy("run_id").parquet(rows)
+        stored_rows = in_region(extracted.observe(fetched, *counts)).write.partitionBy("run_id")
+        stored_rows.parquet(rows, compression="zstd")
         stored = spark.read.schema(extracted.schema).parquet(rows)
         for run_id in runs:
             incoming = stored.where(F.col("run_id") == run_id).drop("run_id")

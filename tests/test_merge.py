@@ -195,3 +195,12 @@ def test_a_late_file_gives_what_ordered_landing_gives(spark, tmp_path):
     ordered = state_after("ordered", [[one, late], [two], [last]])
     assert state_after("late", [[one], [two], [late], [last]]) == ordered
     assert [r[:2] for r in ordered] == [("1", False), ("2", False), ("3", True), ("9", False)]
+
+
+def test_versions_are_stored_densely(spark, tmp_path):
+    one = spark.range(1).selectExpr("'a' AS id", "'s' AS source", "'1' AS external_id", "'c' AS company_slug")
+    jobs = merge.empty_jobs(spark).unionByName(one, allowMissingColumns=True)
+    merge.write_version(jobs.fillna({"is_active": True}), str(tmp_path), "v1")
+    files = [f.name for f in (tmp_path / "rows").rglob("part-*")]
+    assert files and all(name.endswith(".zstd.parquet") for name in files)
+    assert merge.read_version(spark, str(tmp_path), "v1").count() == 1
