@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import saved
+from tagloom.llm.common import lean, saved
 from tagloom.llm.contamination import words
 
 K1, B = 1.2, 0.75
@@ -41,32 +41,42 @@ MICRO = 1e6
 BLOCK = 64
 SHARD_BYTES = 16 << 20
 QUERY_BLOCK = 1000
+#: Index rows that a task hands over at once.
+ROWS = 10_000
 NO_DOCUMENT = -(1 << 63)
 #: A row a block of a term's postings. A shard's documents, their lengths and the sum of these (in
 #: ``most``) are the row whose term is null.
 INDEX = "shard long, term string, block int, size int, docs binary, counts binary, most int, least int"
 
 
-def _shard_rows(shard: int, docs: list[tuple[int, list[bytes]]]) -> Iterator[list[tuple]]:
+def _counted(text: str, number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a text's distinct words, new words numbered on, and how often each occurs."""
+    found = Counter(words(text))
+    terms = np.fromiter((number.setdefault(w, len(number)) for w in found), "<i4", len(found))
+    return terms, np.fromiter(found.values(), "<i4", len(found))
+
+
+def _shard_rows(
+    shard: int, docs: list[tuple[int, np.ndarray, np.ndarray]], number: dict[bytes, int]
+) -> Iterator[list[tuple]]:
     """The index rows of one shard; documents are numbered in the order of their ids."""
     docs.sort(key=lambda d: d[0])
-    lengths = np.array([len(w) for _, w in docs], "<i4")
-    ids = np.array([i for i, _ in docs], "<i8")
+    lengths = np.array([c.sum() for _, _, c in docs], "<i4")
+    ids = np.array([i for i, _, _ in docs], "<i8")
     yield [(shard, None, 0, len(docs), ids.tobytes(), lengths.tobytes(), int(lengths.sum()), 0)]
-    number: dict[bytes, int] = {}
-    terms = np.fromiter((number.setdefault(w, len(number)) for _, own in docs for w in own), np.int64, lengths.sum())
-    keys = terms << 32 | np.repeat(np.arange(len(docs), dtype=np.int64), lengths)
-    keys, counts = np.unique(keys, return_counts=True)
-    term, place, counts = keys >> 32, (keys & 0xFFFFFFFF).astype("<i4"), counts.astype("<i4")
+    term = np.concatenate([t for _, t, _ in docs])
+    order = np.argsort(term, kind="stable")
+    term, counts = term[order], np.concatenate([c for _, _, c in docs])[order]
+    place = np.repeat(np.arange(len(docs), dtype="<i4"), [len(t) for _, t, _ in docs])[order]
+    docs.clear()
     starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.empty(0, int)
-    names = [w.decode() for w in number]
     rows = []
-    for name, begin, end in zip(names, starts.tolist(), [*starts[1:].tolist(), len(term)]):
+    for name, begin, end in zip(number, starts.tolist(), [*starts[1:].tolist(), len(term)]):
         for block, a in enumerate(range(begin, end, BLOCK)):
             b = min(a + BLOCK, end)
             most, least = int(counts[a:b].max()), int(lengths[place[a:b]].min())
-            rows.append((shard, name, block, b - a, place[a:b].tobytes(), counts[a:b].tobytes(), most, least))
-        if len(rows) > 50_000:
+            rows.append((shard, name.decode(), block, b - a, place[a:b].tobytes(), counts[a:b].tobytes(), most, least))
+        if len(rows) > ROWS:
             yield rows
             rows = []
     yield rows
@@ -78,20 +88,22 @@ def index(documents: DataFrame, doc: str = "doc_id", text: str = "text", shard_b
     kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
     names = [part.split(" ")[0] for part in INDEX.split(", ")]
 
+    # of a document only its counts are held: its words as a list take ten times the text
+    @lean
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, number = [], 0, TaskContext.get().partitionId() << 24
+        held, number, size, shard = [], {}, 0, TaskContext.get().partitionId() << 24
 
         def built() -> Iterator[pa.RecordBatch]:
-            nonlocal held, size, number
-            for rows in _shard_rows(number, held):
+            nonlocal held, number, size, shard
+            for rows in _shard_rows(shard, held, number):
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-            held, size, number = [], 0, number + 1
+            held, number, size, shard = [], {}, 0, shard + 1
 
         for batch in batches:
             for doc, content in zip(batch.column(0), batch.column(1)):
                 content = content.as_py()
-                held.append((NO_DOCUMENT if not doc.is_valid else doc.as_py(), words(content) if content else []))
+                held.append((NO_DOCUMENT if not doc.is_valid else doc.as_py(), *_counted(content or "", number)))
                 size += len(content or "")
                 if size > shard_bytes:
                     yield from built()
@@ -205,6 +217,7 @@ def _searched(index: DataFrame, queries: list[tuple], k: int, totals: tuple[int,
     weight = {r.term: math.log(1 + (documents - r.df + 0.5) / (r.df + 0.5)) for r in held}
     queries = [(q, {t: n * weight[t] for t, n in own.items() if t in weight}) for q, own in queries]
 
+    @lean
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, postings, ids, norms = None, {}, None, None
         for batch in batches:
