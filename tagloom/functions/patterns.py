@@ -142,3 +142,26 @@ def lead_words(pattern: str) -> list[LeadWord] | None:
             return None
         words.append(LeadWord(word.group(1).lower(), whole, literal))
     return words
+
+
+def _begins(words: set[tuple[str, bool]]) -> str:
+    """A regex for the beginnings of words, letter by letter, so that each letter is read once."""
+    if ("", False) in words:
+        return ""
+    by_letter: dict[str, set[tuple[str, bool]]] = {}
+    for text, whole in words - {("", True)}:
+        by_letter.setdefault(text[0], set()).add((text[1:], whole))
+    parts = [letter + _begins(rest) for letter, rest in sorted(by_letter.items())]
+    if ("", True) in words:
+        parts.append("(?![a-z0-9])")
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
+def lead_word_regex(words: list[LeadWord]) -> str:
+    """Finds, in lower-cased text, each word that is one of ``words`` or begins with an open-ended one.
+
+    The word is group 1; the sign before it is read as well, so a text must not begin with a word.
+    """
+    begun = {(w.text, w.whole) for w in words}
+    first = "".join(sorted({text[0] for text, _ in begun}))
+    return f"[^a-z0-9](?=[{first}])(?={_begins(begun)})([a-z0-9]+)"

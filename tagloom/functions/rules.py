@@ -57,16 +57,17 @@ def first_match(rules: Sequence[Rule], default: object = None, dtype: str = "str
 
 def _folded(text: Column) -> Column:
     """Lower case as a case-blind match sees it: also for long s, dotless and dotted i."""
-    folded = F.lower(text)
+    folded = lower = F.lower(text)
     for letter, plain in (("\u017f", "s"), ("\u0131", "i"), ("i\u0307", "i")):
         folded = F.replace(folded, F.lit(letter), F.lit(plain))
-    return folded
+    # a text of single bytes holds none of them
+    return F.when(F.octet_length(text) == F.length(text), lower).otherwise(folded)
 
 
 class _Finder:
     """Cheap tests that come before the regex of a dictionary entry.
 
-    A text is split into words once and only the lead words of the dictionary are kept.
+    A text is read once and only the lead words of the dictionary are kept.
     The regex of an entry runs on texts that have one of its lead words.
     """
 
@@ -80,29 +81,41 @@ class _Finder:
         known = F.array(*[F.lit(w) for w in self.whole]).cast("array<string>")
         return F.array_intersect(F.split(folded, "[^a-z0-9]+"), known)
 
-    def entries(self, folded: str) -> Column:
+    def found(self, folded: Column) -> Column:
+        """The words of a text that are lead words or begin with one that may go on.
+
+        One regex reads the text once; most words end at their first or second letter.
+        """
+        words = [w for found in self.lead.values() for w in found or []]
+        if not words:
+            return F.array().cast("array<string>")
+        text = F.concat(F.lit(" "), folded)
+        return F.array_distinct(F.regexp_extract_all(text, F.lit(patterns.lead_word_regex(words)), F.lit(1)))
+
+    def entries(self, found: str) -> Column:
         """Places in the dictionary, ascending, of the entries whose regex is worth a try on a text.
 
-        One look-up for each distinct lead word of the text; an entry with a lead word that
-        may go on is tried where the text holds it, one without lead words always.
+        ``found`` has the text's lead words: one look-up for each that is whole; an entry with a
+        lead word that may go on is tried where one holds it, one without lead words always.
         """
         by_word: dict[str, list[int]] = {}
         others = []
-        for place, found in enumerate(map(self.lead.get, self.dictionary)):
-            open_ended = [w for w in found or [] if not w.whole]
-            for word in found or []:
+        joined = f"array_join({found}, ' ')"
+        for place, words in enumerate(map(self.lead.get, self.dictionary)):
+            open_ended = [w for w in words or [] if not w.whole]
+            for word in words or []:
                 if word.whole:
                     by_word.setdefault(word.text, []).append(place)
-            if found is None:
+            if words is None:
                 others.append(str(place))
             elif open_ended:
-                held = " OR ".join(f"contains({folded}, {patterns.sql_text(w.text)})" for w in open_ended)
+                held = " OR ".join(f"contains({joined}, {patterns.sql_text(w.text)})" for w in open_ended)
                 others.append(f"CASE WHEN {held} THEN {place} END")
         pairs = ", ".join(f"{patterns.sql_text(w)}, array({', '.join(map(str, at))})" for w, at in by_word.items())
         tried = f"array_compact(CAST(array({', '.join(others)}) AS array<int>))"
         if by_word:
             known = f"map({pairs})"
-            words = f"array_intersect(split({folded}, '[^a-z0-9]+'), map_keys({known}))"
+            words = f"array_intersect({found}, map_keys({known}))"
             tried = f"concat(flatten(transform({words}, w -> {known}[w])), {tried})"
         return F.expr(f"array_sort(array_distinct({tried}))")
 
@@ -141,8 +154,8 @@ def with_keyword_tags(
         parts = [clean_markup(p) for p in parts]
     finder = _Finder(dictionary)
     cleaned = df.withColumn("__text", F.concat_ws(" ", *parts))
-    cleaned = cleaned.withColumn("__folded", _folded(F.col("__text")))
-    cleaned = cleaned.withColumn("__entries", finder.entries("__folded"))
+    cleaned = cleaned.withColumn("__found", finder.found(_folded(F.col("__text"))))
+    cleaned = cleaned.withColumn("__entries", finder.entries("__found"))
     regexes = [patterns.java_regex(e.anchored, ignore_case=not e.case_sensitive) for e in dictionary]
     listed = {
         name: f"array({', '.join(map(patterns.sql_text, values))})"
@@ -150,7 +163,7 @@ def with_keyword_tags(
     }
     found = f"filter(__entries, i -> rlike(__text, {listed['regexes']}[i]))" if dictionary else "__entries"
     tags = F.expr(f"CAST(transform({found}, i -> {listed['tags']}[i]) AS array<string>)")
-    return cleaned.withColumn(out, tags).drop("__text", "__folded", "__entries")
+    return cleaned.withColumn(out, tags).drop("__text", "__found", "__entries")
 
 
 def _evidence(finder: _Finder, entry: Keyword, fields: Sequence[str], context: int) -> str:

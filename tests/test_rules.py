@@ -7,7 +7,7 @@ import pytest
 from helpers import values
 from pyspark.sql import functions as F
 
-from tagloom.functions import patterns
+from tagloom.functions import patterns, rules
 from tagloom.functions.rules import Keyword, Rule, first_match, keyword_evidence, segment, with_keyword_tags
 from tagloom.plans import presets
 from tagloom.plans.postings import is_non_tech_title
@@ -260,3 +260,15 @@ def test_evidence_none_when_a_hit_spans_fields(spark):
     entry = [Keyword("GitHub Actions", "GitHub Actions")]
     assert with_keyword_tags(frame, ["a", "b"], entry, "t").first().t == ["GitHub Actions"]
     assert keyword_evidence(frame, ["id"], ["a", "b"], entry).count() == 0
+
+
+def test_only_words_that_begin_with_a_lead_word_are_found(spark):
+    """Words such as "testing" hold a lead word but no entry can match there."""
+    entries = [k for k in presets.KEYWORDS if k.tag in ("Prompt Engineering", "REST", "Go")]
+    finder = rules._Finder(entries)
+    texts = ["testing, restless forests", "ingénierie de prompts", "éging GO_go", "go", "RESTful; go-rest", "mango gov", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = rows.select(F.lower("text").alias("text")).select("text", finder.found(F.col("text")).alias("found"))
+    got = [(r.found, r.tried) for r in found.select("found", finder.entries("found").alias("tried")).collect()]
+    assert got == [(["restless"], [1]), (["ing"], [2]), (["go"], [0]), (["go"], [0]),
+                   (["restful", "go", "rest"], [0, 1]), ([], []), ([], [])]
