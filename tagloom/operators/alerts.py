@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.patterns import strip
+from tagloom.session import stored
 
 
 def query_param(query: Column, name: str) -> Column:
@@ -127,6 +128,12 @@ def _candidates(filters: DataFrame, query: str) -> DataFrame:
     )
 
 
+def _narrow(rows: DataFrame, row_key: str) -> DataFrame:
+    """The columns that filters look at, stored once: they are read to count the keys and to match."""
+    columns = dict.fromkeys([row_key, "seniority", "source", "is_remote", "tech_stack"])
+    return stored(rows.select(*columns), "filtered-rows")
+
+
 def _row_keys(rows: DataFrame, used: DataFrame) -> DataFrame:
     """The narrow columns of ``rows`` with ``row_tags`` and ``keys``, the keys they can be met by.
 
@@ -155,7 +162,8 @@ def _row_keys(rows: DataFrame, used: DataFrame) -> DataFrame:
 def _rarest(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     """Of each filter the entries of the field that fewest rows meet, with ``n``, the rows of the key.
 
-    Rows are only counted by key, which needs no shuffle of rows.
+    Rows are only counted by key, which needs no shuffle of rows. The entries are stored, so that
+    Spark knows their size when it plans their join with the rows.
     """
     met = _row_keys(rows, candidates).select(F.explode("keys").alias("key"))
     counts = met.groupBy("key").agg(F.count("*").alias("n"))
@@ -164,7 +172,7 @@ def _rarest(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     best = costs.groupBy("filter_id").agg(F.min(F.struct("cost", "field")).alias("best"))
     best = best.select("filter_id", F.col("best.field").alias("field"))
     # a key without rows matches nothing
-    return entries.join(best, ["filter_id", "field"]).where("n > 0")
+    return stored(entries.join(best, ["filter_id", "field"]).where("n > 0"), "filter-entries")
 
 
 def _rest_matches() -> Column:
@@ -218,8 +226,9 @@ def match_filters(
     under keys that filters are entered by. They meet by an equi-join on the key, so no
     pair is built that shares none, and each pair is produced once.
     """
-    entries = _rarest(rows, _candidates(filters, query))
-    return _met(rows, entries, row_key, "inner", share).select(row_key, "filter_id")
+    narrow = _narrow(rows, row_key)
+    entries = _rarest(narrow, _candidates(filters, query))
+    return _met(narrow, entries, row_key, "inner", share).select(row_key, "filter_id")
 
 
 def flag_matches(
@@ -232,8 +241,9 @@ def flag_matches(
     """
     candidates = _candidates(filters.where("enabled"), query)
     everything = candidates.agg(F.coalesce(F.bool_or(F.col("field") == "any"), F.lit(False))).scalar()
-    entries = _rarest(rows, candidates.where("field <> 'any'"))
-    hit = _met(rows, entries, row_key, "left_semi", share)
+    narrow = _narrow(rows, row_key)
+    entries = _rarest(narrow, candidates.where("field <> 'any'"))
+    hit = _met(narrow, entries, row_key, "left_semi", share)
     flagged = hit.select(row_key).distinct().withColumn("__hit", F.lit(True))
     return rows.join(flagged, row_key, "left").select(
         *rows.columns, (F.coalesce("__hit", F.lit(False)) | everything).alias("matches_filter")

@@ -387,3 +387,14 @@ def test_tag_index_of_nothing(spark, tmp_path):
     tag_index.write_tag_index(table, str(tmp_path / "index"))
     assert tag_index.rows_with_all_tags(spark, str(tmp_path / "index"), ["Go"]).count() == 0
     assert tag_index.count_with_all_tags(spark, str(tmp_path / "index"), ["Go"]).first().total == 0
+
+
+def test_saved_filters_compute_the_rows_once(spark, view, tmp_path):
+    """The rows, which may come from large joins, are not computed again for the matches."""
+    frame = spark.createDataFrame([("a", "tech=go", True)], "filter_id string, query string, enabled boolean")
+    parsed = alerts.parse_filters(frame, presets.SENIORITY_LABELS, presets.WORKPLACE_LABELS)
+    view.write.parquet(str(tmp_path / "given-rows"))
+    rows = spark.read.parquet(str(tmp_path / "given-rows"))
+    found = alerts.match_filters(rows, parsed)
+    assert not any("given-rows" in file for file in found.inputFiles())
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, alerts.match_filters(view, parsed).collect()))
