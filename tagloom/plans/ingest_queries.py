@@ -13,7 +13,7 @@ from tagloom.plans.registry import query
 from tagloom.plans.serving_queries import document_jobs
 from tagloom.plans.tables import table, text_of, time_text
 from tagloom.plans.text_queries import _EDGE_L, _EDGE_R, ANSWERS_SQL, order_answers
-from tagloom.session import scratch_path
+from tagloom.session import scratch_path, stored
 from tagloom.sources import landed
 from tagloom.sources.large_lists import large_json_items, large_markdown_rows
 from tagloom.streaming.landing import ingest_landed
@@ -299,15 +299,17 @@ def document_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The company list, kept as a table whose size Spark knows, so that no payload is shuffled for it."""
     pairs = table(spark, sf_dir, "documents").select("lang", "source").distinct()
     board = F.col("lang") == "es"
-    return pairs.select(
+    companies = pairs.select(
         _by("lang", {k: F.lit(v) for k, v in _SOURCE_OF.items()}).alias("source"),
         F.col("source").alias("slug"),
         F.upper("source").alias("name"),
         F.when(board, F.lit("https://b.example/api/Site/jobs")).alias("api_url"),
         F.when(board, F.lit("https://b.example")).alias("base_url"),
     )
+    return stored(companies, "companies")
 
 
 _POSTINGS_SQL = """

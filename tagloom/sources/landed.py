@@ -24,14 +24,14 @@ _LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
 def read_landed(
-    spark: SparkSession, root: str, runs: Sequence[str] | None = None
+    spark: SparkSession, root: str, only: Sequence[tuple[str, str]] | None = None
 ) -> DataFrame:
     """Landed payloads below ``root``; run, source and kind come from the folders.
 
-    With ``runs`` only the folders of those runs are listed.
+    With ``only`` just the folders of those runs and sources are listed.
     """
     reader = spark.read.schema(LANDING_SCHEMA).option("basePath", root)
-    return reader.json(root if runs is None else [f"{root}/run_id={r}" for r in runs])
+    return reader.json(root if only is None else [f"{root}/run_id={r}/source={s}" for r, s in only])
 
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tagloom.operators import merge
 from tagloom.operators.keys import duplicate_keys
 from tagloom.sources.landed import read_landed
-from tagloom.streaming.landing import ingest_landed
+from tagloom.streaming.landing import ingest_landed, read_log
 
 OLD, NOW = datetime(2026, 5, 1), datetime(2026, 5, 9, 6)
 CURRENT = "source string, external_id string, company_slug string, title string, is_active boolean"
@@ -197,6 +197,32 @@ def test_a_late_file_gives_what_ordered_landing_gives(spark, tmp_path):
     assert [r[:2] for r in ordered] == [("1", False), ("2", False), ("3", True), ("9", False)]
 
 
+def test_rows_are_derived_again_only_where_files_landed(spark, tmp_path):
+    landing, target, state = (str(tmp_path / n) for n in ("landing", "jobs", "state"))
+    first, second = "20260501T060000", "20260502T060000"
+    lever = ("lever", "list", "bolt", None, json.dumps([lever_job()]))
+    land(tmp_path / "landing", first, [board(1, 2)])
+    land(tmp_path / "landing", second, [board(2, 3)])
+
+    def read_by(batch, known=None):
+        ingest_landed(spark, landing, known or companies(spark), target, state).awaitTermination()
+        rows = spark.read.json(f"{target}/extracts/batch={batch}").collect()
+        assert [(r.run_id, r.fetched) for r in read_log(spark, target).orderBy("run_id").collect()][1] == (second, 2)
+        return sorted((r.run_id, r.source, r.fetched) for r in rows)
+
+    assert read_by(0) == [(first, "greenhouse", 2), (second, "greenhouse", 2)]
+    # the later run is merged again, from the rows that were kept
+    land(tmp_path / "landing", first, [lever], 9)
+    assert read_by(1) == [(first, "lever", 1)]
+    # another company list: what is merged again is read again
+    renamed = companies(spark).withColumn("name", F.upper("name"))
+    land(tmp_path / "landing", first, [lever], 10)
+    assert read_by(2, renamed) == [(first, "greenhouse", 2), (first, "lever", 2), (second, "greenhouse", 2)]
+    rows = merge.read_version(spark, target, merge.latest_version(spark, target)).collect()
+    assert all(r.company == r.company.upper() for r in rows)
+    assert {r.external_id: r.is_active for r in rows} == {"1": False, "2": True, "3": True, "lev-1": True}
+
+
 def test_versions_are_stored_densely(spark, tmp_path):
     one = spark.range(1).selectExpr("'a' AS id", "'s' AS source", "'1' AS external_id", "'c' AS company_slug")
     jobs = merge.empty_jobs(spark).unionByName(one, allowMissingColumns=True)
