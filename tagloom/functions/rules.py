@@ -156,7 +156,8 @@ def with_keyword_tags(
     cleaned = df.withColumn("__text", F.concat_ws(" ", *parts))
     cleaned = cleaned.withColumn("__found", finder.found(_folded(F.col("__text"))))
     cleaned = cleaned.withColumn("__entries", finder.entries("__found"))
-    regexes = [patterns.java_regex(e.anchored, ignore_case=not e.case_sensitive) for e in dictionary]
+    tried = [patterns.first_letter_first(e.anchored) for e in dictionary]
+    regexes = [patterns.java_regex(r, ignore_case=not e.case_sensitive) for r, e in zip(tried, dictionary)]
     listed = {
         name: f"array({', '.join(map(patterns.sql_text, values))})"
         for name, values in (("regexes", regexes), ("tags", [e.tag for e in dictionary]))

@@ -6,7 +6,7 @@ from datetime import datetime
 from helpers import ts, values
 from pyspark.sql import functions as F
 
-from tagloom.functions import coerce, text
+from tagloom.functions import coerce, patterns, text
 from tagloom.plans import presets
 
 
@@ -159,3 +159,15 @@ def test_truthiness_and_paths(spark):
     got = [r.v for r in frame.orderBy("i").select(coerce.is_truthy("a").alias("v")).collect()]
     assert got == [True, False, False, True, True, False, True, False, False, True, False, False, False]
     assert coerce.json_path("departments.0.name") == "$.departments[0].name"
+
+
+def test_spaces_and_first_letters(spark):
+    cases = [" a  b ", "　a\n b\x85", "a \t", "\x1c", "  ", "", "a b", None]
+    stripped = values(spark, patterns.strip(F.col("t")), cases, "t string")
+    assert stripped == [c and c.strip() for c in cases]
+    joined = values(spark, patterns.collapse_spaces(F.col("t")), cases, "t string")
+    assert joined == [c and " ".join(c.split()) for c in cases]
+    # every match of an entry begins with a letter that is tested first
+    assert patterns.first_letter_first(r"\b(?:Ruby on )?Rails\b") == r"(?=[R])\b(?:Ruby on )?Rails\b"
+    assert patterns.first_letter_first(r"\.NET\b") == r"(?=[\.])\.NET\b"
+    assert patterns.first_letter_first(r"\b[CF]\b") == r"\b[CF]\b"
